@@ -1,2 +1,39 @@
-QUERIES = {}
-SQL = {}
+"""Queries of the general data-pipeline problems, each over its whole tables, beside their oracle SQL where SQL can say the same."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.operators import delivery
+from quern.session import table
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+_TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(13))"
+_PID, _WID = _TRIM.format("pipeline_id"), _TRIM.format("worker_id")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return delivery.surplus_copies(table(spark, d, "fragment_result"), ["pipeline_id"], "worker_id", "received_at", "delivery_id")
+
+
+def p1_kept(spark: SparkSession, d: str) -> DataFrame:
+    kept = delivery.keep_once(table(spark, d, "fragment_result"), ["pipeline_id"], "worker_id", "received_at", "delivery_id")
+    return kept.select("delivery_id", "batch_no", "runtime_ms")
+
+
+def p1_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return delivery.seen_ranges(table(spark, d, "fragment_result"), ["pipeline_id"], "worker_id")
+
+
+QUERIES |= {"p1_found": p1_found, "p1_kept": p1_kept, "p1_ranges": p1_ranges}
+_RANKED = f"""SELECT delivery_id, batch_no, runtime_ms, p, w, row_number() OVER (PARTITION BY p, w ORDER BY received_at, delivery_id) AS rn
+ FROM (SELECT *, {_PID} AS p, {_WID} AS w FROM fragment_result)"""
+SQL["p1_found"] = f"SELECT delivery_id FROM ({_RANKED}) WHERE p <> '' AND w <> '' AND rn > 1"
+SQL["p1_kept"] = f"SELECT delivery_id, batch_no, runtime_ms FROM ({_RANKED}) WHERE rn = 1 OR p IS NULL OR w IS NULL OR p = '' OR w = ''"
+SQL["p1_ranges"] = f"""SELECT pipeline_id, producer, min(n) AS lo, max(n) AS hi FROM (
+ SELECT *, n - row_number() OVER (PARTITION BY pipeline_id, producer ORDER BY n) AS island FROM (
+ SELECT DISTINCT p AS pipeline_id, regexp_replace(w, '-[0-9]+$', '') AS producer, CAST(regexp_extract(w, '-(0|[1-9][0-9]*)$', 1) AS BIGINT) AS n FROM (
+ SELECT {_PID} AS p, {_WID} AS w FROM fragment_result) WHERE p <> '' AND regexp_matches(w, '-(0|[1-9][0-9]*)$'))) GROUP BY pipeline_id, producer, island"""

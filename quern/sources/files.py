@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern import types as Q
@@ -45,17 +46,23 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructTy
         names = found["header"] if has_header else [f"Column{i + 1}" for i in range(len(head[0].split(sep)) if head else 0)]
         kinds = [Q.BY_NAME[t] for t in found["types"]] if found["types"] else [Q.STRING] * len(names)
         schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])
-    reader = spark.read.option("sep", sep).option("quote", "").option("mode", "FAILFAST").option("nullValue", "NULL").option("emptyValue", "")
+    # Read as text, then cast: so NULL, empty text and a second header line are told apart, and a bad value raises.
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    reader = spark.read.option("sep", sep).option("quote", "").option("mode", "FAILFAST").option("header", has_header)
+    raw = reader.option("nullValue", "\x00").schema(text).csv(paths)
     if found["types"] and has_header:
-        # The second header line is data to Spark: read as text, drop it, cast strictly.
-        text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-        raw = reader.option("header", True).schema(text).csv(paths)
-        marker = None
+        marker = F.lit(True)
         for f, kind in zip(schema.fields, found["types"]):
-            same = raw[f.name].eqNullSafe(kind)
-            marker = same if marker is None else marker & same
-        return raw.filter(~marker).select(*[raw[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
-    return reader.option("header", has_header).schema(schema).csv(paths)
+            marker &= F.col(f"`{f.name}`").eqNullSafe(kind)
+        raw = raw.filter(~marker)
+    return raw.select(*[_value(f).alias(f.name) for f in schema.fields])
+
+
+def _value(f: T.StructField) -> Column:
+    c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, T.StringType):
+        return F.when(c.isNull(), F.lit("")).when(c != "NULL", c)
+    return F.when(c != "NULL", c).cast(f.dataType)
 
 
 def import_(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None, fmt: str | None = None, expected: T.StructType | None = None, **options: str) -> DataFrame:
