@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import delivery
+from quern.operators import delivery, drift, intervals, nested, quantiles
 from quern.session import table
 
 QUERIES: dict = {}
@@ -37,3 +39,129 @@ SQL["p1_ranges"] = f"""SELECT pipeline_id, producer, min(n) AS lo, max(n) AS hi
  SELECT *, n - row_number() OVER (PARTITION BY pipeline_id, producer ORDER BY n) AS island FROM (
  SELECT DISTINCT p AS pipeline_id, regexp_replace(w, '-[0-9]+$', '') AS producer, CAST(regexp_extract(w, '-(0|[1-9][0-9]*)$', 1) AS BIGINT) AS n FROM (
  SELECT {_PID} AS p, {_WID} AS w FROM fragment_result) WHERE p <> '' AND regexp_matches(w, '-(0|[1-9][0-9]*)$'))) GROUP BY pipeline_id, producer, island"""
+
+
+# --- p3: periods and gaps --------------------------------------------------------------------------------------------
+def _micros(name: str):
+    """Microseconds since 1970: values over 1e11 are milliseconds, others seconds; NULL for what isn't a finite number."""
+    v = F.col(name)
+    finite = F.when(~F.isnan(v) & (F.abs(v) < 1e16), v)
+    return F.round(F.when(finite > 1e11, finite * 1e3).otherwise(finite * 1e6)).cast("long")
+
+
+def _traces(spark: SparkSession, d: str) -> DataFrame:
+    bare = F.regexp_extract(F.lower("trace_id"), r"(1-[0-9a-f]{8}-[0-9a-f]{24})", 1)
+    rows = table(spark, d, "subsegment").select(F.when(bare != "", bare).alias("trace_id"), _micros("start_time").alias("s"), _micros("end_time").alias("e"))
+    return intervals.periods_and_gaps(rows, "trace_id", "s", "e")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _traces(spark, d)
+
+
+def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Covered and uncovered time of each trace."""
+    length = F.col("end_us") - F.col("start_us")
+    return _traces(spark, d).groupBy("trace_id").agg(F.count(F.when(F.col("kind") == "period", 1)).alias("periods"), F.sum(F.when(F.col("kind") == "period", length).otherwise(0)).alias("covered_us"), F.sum(F.when(F.col("kind") == "gap", length).otherwise(0)).alias("gap_us"))
+
+
+QUERIES |= {"p3_found": p3_found, "p3_coverage": p3_coverage}
+_US = "CAST(round(CASE WHEN {0} > 1e11 THEN {0} * 1e3 ELSE {0} * 1e6 END) AS BIGINT)"
+SQL["p3_found"] = f"""WITH r AS (SELECT regexp_extract(lower(trace_id), '(1-[0-9a-f]{{8}}-[0-9a-f]{{24}})', 1) AS trace_id, {_US.format("start_time")} AS s, {_US.format("end_time")} AS e
+ FROM subsegment WHERE start_time IS NOT NULL AND end_time IS NOT NULL AND trace_id IS NOT NULL),
+ o AS (SELECT *, max(e) OVER (PARTITION BY trace_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r WHERE trace_id <> '' AND e >= s),
+ i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o)
+ SELECT trace_id, 'period' AS kind, min(s) AS start_us, max(e) AS end_us FROM i GROUP BY trace_id, k
+ UNION ALL SELECT trace_id, 'gap', reach, s FROM i WHERE s > reach"""
+SQL["p3_coverage"] = f"""SELECT trace_id, count(*) FILTER (kind = 'period') AS periods, CAST(sum(CASE WHEN kind = 'period' THEN end_us - start_us ELSE 0 END) AS BIGINT) AS covered_us,
+ CAST(sum(CASE WHEN kind = 'gap' THEN end_us - start_us ELSE 0 END) AS BIGINT) AS gap_us FROM ({SQL["p3_found"]}) GROUP BY trace_id"""
+
+
+# --- p5: percentiles -------------------------------------------------------------------------------------------------
+_MEASURES = ("runtime_ms", "function_instance_size_mb")
+
+
+def _day_sketches(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "fragment_result").select(delivery.trimmed(F.col("pipeline_id")).alias("pipeline_id"), F.to_date("received_at").alias("day"), *_MEASURES)
+    return quantiles.sketches(rows.filter("pipeline_id is not null and day is not null"), [F.col("pipeline_id"), F.col("day")], _MEASURES)
+
+
+def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each pipeline and day, and of each pipeline as a whole (day is NULL) merged from its days: the table is read once."""
+    return _both_levels(_day_sketches(spark, d))
+
+
+def _both_levels(days: DataFrame) -> DataFrame:
+    from quern.session import settle
+
+    # The day sketches are what a later run would keep; written once, read by both levels.
+    kept = settle(days)
+    whole = quantiles.merge(kept, ["pipeline_id"], _MEASURES).withColumn("day", F.lit(None).cast("date"))
+    return quantiles.read(kept.unionByName(whole), ["pipeline_id", "day"], _MEASURES)
+
+
+def p5_days(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.read(_day_sketches(spark, d), ["pipeline_id", "day"], _MEASURES)
+
+
+QUERIES |= {"p5_percentiles": p5_percentiles, "p5_days": p5_days}
+
+
+# --- p2: drifting schemas --------------------------------------------------------------------------------------------
+def _unions(spark: SparkSession, d: str) -> DataFrame:
+    return drift.unions(table(spark, d, "benchmark_output"), "file_no", "campaign_id", "written_at", "document")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.changes(_unions(spark, d)).withColumnRenamed("file", "file_no")
+
+
+def p2_schema(spark: SparkSession, d: str) -> DataFrame:
+    return drift.fused(_unions(spark, d))
+
+
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    return drift.values(table(spark, d, "benchmark_output"), "file_no", "document").withColumnRenamed("file", "file_no")
+
+
+def p2_table(spark: SparkSession, d: str) -> DataFrame:
+    return drift.consistent(table(spark, d, "benchmark_output"), "file_no", "document").select(F.col("file").alias("file_no"), "run_no", F.to_json("parameters").alias("parameters"))
+
+
+QUERIES |= {"p2_found": p2_found, "p2_schema": p2_schema, "p2_values": p2_values, "p2_table": p2_table}
+
+
+# --- p4: nested records ----------------------------------------------------------------------------------------------
+_KEYS = ("node_kind", "owner_id", "run_no", "repetition_no", "invocation_no", "item_name")
+
+
+def _nodes(spark: SparkSession, d: str, payload: bool) -> DataFrame:
+    results = nested.flatten(table(spark, d, "benchmark_output"), "file_no", "document", nested.visit_result, payload)
+    messages = nested.flatten(table(spark, d, "fragment_result"), "delivery_id", "metering", nested.visit_metering, payload)
+    return results.unionByName(messages)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _nodes(spark, d, payload=False).select(*_KEYS)
+
+
+def p4_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Written partitioned by tag and read back, with keys and parent keys."""
+    from quern.session import shared_dir
+
+    path = f"{shared_dir(spark)}/p4-tables-{uuid.uuid4().hex}"
+    nested.write_tables(_nodes(spark, d, payload=True), path)
+    return spark.read.parquet(path).select("node_kind", "key", "parent_key", "payload")
+
+
+def p4_invocations(spark: SparkSession, d: str) -> DataFrame:
+    nodes = nested.flatten(table(spark, d, "benchmark_output"), "file_no", "document")
+    return nested.flat(nodes, "invocation", "invocation_id string, succeeded boolean, invocation_total_duration_ms double")
+
+
+def p4_fragment_requests(spark: SparkSession, d: str) -> DataFrame:
+    nodes = nested.flatten(table(spark, d, "fragment_result"), "delivery_id", "metering", nested.visit_metering)
+    return nested.flat(nodes, "fragment_request", "finished long, succeeded long, retried long, failed long").select("key", "parent_key", "owner_id", "item_name", "finished", "succeeded", "retried", "failed")
+
+
+QUERIES |= {"p4_found": p4_found, "p4_tables": p4_tables, "p4_invocations": p4_invocations, "p4_fragment_requests": p4_fragment_requests}
