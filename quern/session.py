@@ -51,3 +51,26 @@ def settle(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a context, so that workers can import it wherever they start."""
+    import os
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="quern-"), "quern.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(at, n)
+                    z.write(full, os.path.join("quern", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
