@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import mixing, packing, tokens
+from quern.llm import content, mixing, packing, tokens
 from quern.session import settle, table
 
 QUERIES: dict = {}
@@ -46,3 +46,19 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p6_containers": p6_containers, "p6_utilisation": p6_utilisation, "p7_copies": p7_copies, "p7_shares": p7_shares}
+
+
+# --- p8 --------------------------------------------------------------------------------------------------------------
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return content.found(content.score_documents(table(spark, d, "documents"), "text", ["doc_id"]), "doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return content.score_documents(table(spark, d, "documents"), "text", ["doc_id", "source"])
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return content.rates(p8_scores(spark, d), "source")
+
+
+QUERIES |= {"p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
