@@ -131,7 +131,7 @@ def surplus_copies(df: DataFrame, message_keys: list[str], sequence_key: str, or
 
     A message is identified by ``message_keys`` and ``sequence_key`` together, blanks around them removed; ``sequence_key`` ends in ``-number``
     where it is well formed.  The copy with the smallest ``order`` (a timestamp; NULL counts as latest), then the smallest ``row_id``, is kept.
-    Rows with a NULL or blank identifier identify nothing and never come out.  ``row_id`` must be unique (repeated rows that repeat it come out
+    Rows with a NULL or blank identifier identify nothing and never come out; rows without ``row_id`` can't be named and are passed over.  ``row_id`` must be unique (repeated rows that repeat it come out
     as often as they are surplus).  Empty tables give no rows; other columns are ignored.
     """
     seq = trimmed(F.col(f"`{sequence_key}`"))
@@ -141,7 +141,7 @@ def surplus_copies(df: DataFrame, message_keys: list[str], sequence_key: str, or
     number = F.when(plain, digits).otherwise(F.lit("0")).cast("long")
     producer = F.when(plain, F.substring(seq, F.lit(1), F.length(seq) - F.length(digits))).otherwise(seq)
     parts = [trimmed(F.col(f"`{k}`")) for k in message_keys]
-    wanted = producer.isNotNull()
+    wanted = producer.isNotNull() & F.col(f"`{row_id}`").isNotNull()
     for p in parts:
         wanted &= p.isNotNull()
     stamp = F.coalesce(F.unix_micros(F.col(f"`{order}`").cast("timestamp")), F.lit(2**63 - 1))

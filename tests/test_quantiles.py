@@ -1,0 +1,27 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from quern.operators import quantiles as Q
+
+
+def test_error_bound_and_merging(spark):
+    k = 256
+    df = spark.range(200_000, numPartitions=4).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 5)).alias("g"), (F.col("id") % 10).alias("day"), F.pmod(F.xxhash64("id"), F.lit(1_000_000)).alias("v"))
+    days = Q.sketches(df, [F.col("g"), F.col("day")], ["v"], k)
+    whole = Q.read(Q.merge(days, ["g"], ["v"], k), ["g"], ["v"], k=k).collect()
+    values = df.toPandas().groupby("g")["v"].apply(lambda s: np.sort(s.to_numpy()))
+    assert {r.g for r in whole} == set(values.index)
+    for r in whole:
+        x = values[r.g]
+        assert r.n == len(x) and r.rank_error == Q.rank_error(k)
+        for q, got in zip(Q.QUANTILES, (r.p50, r.p90, r.p99, r.p99_9)):
+            assert abs(np.searchsorted(x, got, "right") / len(x) - q) < 2.5 * Q.rank_error(k)
+
+
+def test_exact_when_small_and_edges(spark):
+    rows = [("a", v, "n") for v in (5, 1, None, -1, 3, 0)] + [("b", None, "n"), ("b", -7, "n"), (None, 4, "n")]
+    df = spark.createDataFrame(rows, "g string, v long, n string")
+    got = {r.g: r for r in Q.read(Q.sketches(df, [F.col("g")], ["v"]), ["g"], ["v"]).collect()}
+    assert set(got) == {"a", None}
+    assert (got["a"].n, got["a"].p50, got["a"].p99_9, got["a"].rank_error) == (4, 1, 5, 0.0)
+    assert Q.read(Q.sketches(df.limit(0), [F.col("g")], ["v"]), ["g"], ["v"]).count() == 0
