@@ -1,14 +1,15 @@
 """Deeply nested records into related flat tables, in one pass.
 
 A depth-first visitor walks each document once and emits tagged rows: the table, the key of the row, the key of its parent and the scalar
-members as payload.  Keys are the position path (owner, run, repetition, invocation, item), so parent links need no generated numbers and come
+members as payload.  Nested members without a table of their own, and members of the document and of a run beside their tables, are ``member`` rows of the
+node that holds them; ``item_name`` is then a JSON pointer from that node, so nothing of a document is lost.  Keys are the position path (owner, run, repetition, invocation, item), so parent links need no generated numbers and come
 out the same when a task is run again.  The pass is map-only; ``write_tables`` writes it partitioned by tag, and ``flat`` applies a table's schema.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.jsontext import INVALID, elements, parse
 
-PARENTS = {"run": "file", "metric": "run", "repetition": "run", "invocation": "repetition", "invocation_request": "invocation", "fragment_request": "delivery"}
+PARENTS = {"member": "file, run, repetition or invocation", "run": "file", "metric": "run", "repetition": "run", "invocation": "repetition", "invocation_request": "invocation", "fragment_request": "delivery"}
 SCHEMA = "node_kind string, owner_id long, run_no int, repetition_no int, invocation_no int, item_name string, payload string"
 _ARROW = pa.schema([("node_kind", pa.string()), ("owner_id", pa.int64()), ("run_no", pa.int32()), ("repetition_no", pa.int32()), ("invocation_no", pa.int32()), ("item_name", pa.string()), ("payload", pa.string())])
 
@@ -50,14 +51,50 @@ def _scalars(node: dict) -> str:
     return json.dumps({k: v for k, v in node.items() if not isinstance(v, (dict, list))})
 
 
-def visit_result(owner: int, document: Any, emit: Callable, payload: bool) -> None:
-    """A benchmark result: runs with their parameters, metrics, repetitions, invocations and requests."""
-    runs = document.get("runs") if isinstance(document, dict) else None
-    for r, run in enumerate(elements(runs)):
+def _step(name: str | int) -> str:
+    """A step of a JSON pointer."""
+    return "/" + str(name).replace("~", "~0").replace("/", "~1")
+
+
+def members(value: Any, pointer: str) -> Iterator[tuple[str, str]]:
+    """(JSON pointer, JSON) of a value in flat rows: an object is a row of its scalars, an array without objects or arrays is one row, another a row an element."""
+    todo = [(pointer, value)]
+    while todo:  # no recursion: the parser goes deeper than that
+        at, x = todo.pop()
+        if isinstance(x, dict):
+            yield at, _scalars(x)
+            todo += [(at + _step(k), v) for k, v in x.items() if isinstance(v, (dict, list))]
+        elif isinstance(x, list) and any(isinstance(v, (dict, list)) for v in x):
+            todo += [(at + _step(k), v) for k, v in enumerate(x)]
+        else:
+            yield at, json.dumps(x)
+
+
+def visit_result(owner: int, document: Any, emit: Callable, payload: bool, whole: bool = False) -> None:
+    """A benchmark result: runs with their parameters, metrics, repetitions, invocations and requests.
+
+    With ``payload``, what has no table of its own follows as ``member`` rows; ``whole`` leaves it in the payload of repetitions and invocations instead.
+    """
+
+    def rest(node: dict, r: int, p: int, i: int, tables: Collection[str], scalars: bool) -> None:
+        """``member`` rows of a node; ``scalars``: no other row holds its scalars."""
+        for k, v in node.items():
+            if payload and k not in tables and (scalars or isinstance(v, (dict, list)) and not whole):
+                for pointer, text in members(v, _step(k)):
+                    emit("member", owner, r, p, i, pointer, text)
+
+    def own(node: dict, table: str) -> str | None:
+        return (json.dumps({k: v for k, v in node.items() if k != table}) if whole else _scalars(node)) if payload else None
+
+    if not isinstance(document, dict):
+        return
+    rest(document, -1, -1, -1, ("runs",), True)
+    for r, run in enumerate(elements(document.get("runs"))):
         if not isinstance(run, dict):
             continue
         emit("run", owner, r, -1, -1, "", json.dumps(run.get("parameters")) if payload else None)
         metrics = run.get("metrics")
+        rest(run, r, -1, -1, ("parameters", "repetitions", *(["metrics"] if metrics is None or isinstance(metrics, dict) else [])), True)
         if isinstance(metrics, dict):
             for name, v in metrics.items():
                 if v is not None:
@@ -65,19 +102,21 @@ def visit_result(owner: int, document: Any, emit: Callable, payload: bool) -> No
         for p, rep in enumerate(elements(run.get("repetitions"))):
             if not isinstance(rep, dict):
                 continue
-            emit("repetition", owner, r, p, -1, "", _scalars(rep) if payload else None)
+            emit("repetition", owner, r, p, -1, "", own(rep, "invocations"))
+            rest(rep, r, p, -1, ("invocations",), False)
             for i, inv in enumerate(elements(rep.get("invocations"))):
                 if not isinstance(inv, dict):
                     continue
-                emit("invocation", owner, r, p, i, "", _scalars(inv) if payload else None)
+                emit("invocation", owner, r, p, i, "", own(inv, "metering"))
+                rest(inv, r, p, i, ("metering",), False)
                 for name, counts in requests(inv.get("metering")):
-                    emit("invocation_request", owner, r, p, i, name, _scalars(counts) if payload else None)
+                    emit("invocation_request", owner, r, p, i, name, json.dumps(counts) if payload else None)
 
 
 def visit_metering(owner: int, metering: Any, emit: Callable, payload: bool) -> None:
     """The metering of one delivered message."""
     for name, counts in requests(metering):
-        emit("fragment_request", owner, -1, -1, -1, name, _scalars(counts) if payload else None)
+        emit("fragment_request", owner, -1, -1, -1, name, json.dumps(counts) if payload else None)
 
 
 def flatten(df: DataFrame, owner: str, document: str, visitor: Callable = visit_result, payload: bool = True) -> DataFrame:
@@ -117,10 +156,11 @@ def keyed(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("key", F.when(F.col("item_name") != "", F.concat_ws("/", path, F.concat(F.col("node_kind"), F.lit(":"), F.col("item_name")))).otherwise(path)).withColumn("parent_key", up)
 
 
-def flat(nodes: DataFrame, kind: str, schema: str) -> DataFrame:
-    """One flat table: keys and the payload's members by ``schema`` (DDL); members of another type are NULL."""
-    x = F.from_json("payload", schema)
-    return keyed(nodes.filter(F.col("node_kind") == kind)).select("key", "parent_key", "owner_id", "run_no", "repetition_no", "invocation_no", "item_name", x.alias("x")).select("key", "parent_key", "owner_id", "run_no", "repetition_no", "invocation_no", "item_name", "x.*")
+def flat(nodes: DataFrame, kind: str, schema: str, members: str = "") -> DataFrame:
+    """One flat table: keys and the payload's members by ``schema`` (DDL); members of another type are NULL.  ``members`` names a column for the whole payload."""
+    keys = ("key", "parent_key", "owner_id", "run_no", "repetition_no", "invocation_no", "item_name")
+    rows = keyed(nodes.filter(F.col("node_kind") == kind)).select(*keys, F.from_json("payload", schema).alias("x"), "payload")
+    return rows.select(*keys, "x.*", *([F.col("payload").alias(members)] if members else []))
 
 
 def write_tables(nodes: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -155,8 +156,9 @@ def p4_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_invocations(spark: SparkSession, d: str) -> DataFrame:
-    nodes = nested.flatten(table(spark, d, "benchmark_output"), "file_no", "document")
-    return nested.flat(nodes, "invocation", "invocation_id string, succeeded boolean, invocation_total_duration_ms double")
+    """One row an invocation; ``members`` is the JSON of all its members but metering, nested ones too."""
+    nodes = nested.flatten(table(spark, d, "benchmark_output"), "file_no", "document", partial(nested.visit_result, whole=True))
+    return nested.flat(nodes, "invocation", "invocation_id string, succeeded boolean, invocation_total_duration_ms double", members="members")
 
 
 def p4_fragment_requests(spark: SparkSession, d: str) -> DataFrame:

@@ -38,3 +38,24 @@ def test_links_and_tables(spark, tmp_path):
     assert N.flat(nodes, "invocation", "invocation_id string").first().invocation_id == "q"
     N.write_tables(nodes, str(tmp_path / "t"))
     assert sorted(p.name for p in (tmp_path / "t").glob("node_kind=*"))[0] == "node_kind=invocation" and spark.read.parquet(str(tmp_path / "t")).count() == 5
+
+
+def test_nested_members_are_kept(spark):
+    inv = {"invocation_id": "q", "introspection": {"env": "e", "cpu": {"a/b": [1, 2]}}, "intervals": [{"a": 1}, None, 3], "metering": {"A:B": {"finished": 4, "by": [1]}}}
+    d = {"context": {"date": "x", "host": {"n": 2}}, "version": 3, "runs": [{"id": 7, "metrics": [5], "parameters": {"p": [1]}, "repetitions": {"throughput": [5, 6], "empty": [], "invocations": inv}}]}
+    df = spark.createDataFrame([(1, json.dumps(d))], "own long, doc string")
+    nodes = N.flatten(df, "own", "doc")
+    got = {(r.parent_key, r.item_name): json.loads(r.payload) for r in N.keyed(nodes).filter("node_kind = 'member'").collect()}
+    assert got == {
+        ("1", "/context"): {"date": "x"}, ("1", "/context/host"): {"n": 2}, ("1", "/version"): 3, ("1/0", "/id"): 7, ("1/0", "/metrics"): [5], ("1/0/0", "/throughput"): [5, 6], ("1/0/0", "/empty"): [],
+        ("1/0/0/0", "/introspection"): {"env": "e"}, ("1/0/0/0", "/introspection/cpu"): {}, ("1/0/0/0", "/introspection/cpu/a~1b"): [1, 2], ("1/0/0/0", "/intervals/0"): {"a": 1}, ("1/0/0/0", "/intervals/1"): None, ("1/0/0/0", "/intervals/2"): 3,
+    }
+    assert json.loads(nodes.filter("node_kind = 'invocation_request'").first().payload)["by"] == [1]
+    assert N.flatten(df, "own", "doc", payload=False).filter("node_kind = 'member'").count() == 0
+
+
+def test_invocations_hold_nested_members(spark, data):
+    from quern.plans import pipeline_queries as P
+
+    rows = P.p4_invocations(spark, data).collect()
+    assert any("introspection" in r.members for r in rows) and any("intervals_download" in r.members for r in rows) and not any('"metering"' in r.members for r in rows)
