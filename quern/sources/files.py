@@ -36,8 +36,8 @@ def sniff(lines: Sequence[str]) -> dict:
     return {"sep": sep, "header": [x.strip() for x in first] if named else None, "types": types and [x.strip() for x in types]}
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | None = None, sep: str | None = None, header: bool | None = None) -> DataFrame:
-    """CSV or TBL.  Without a schema, names and types come from the first lines (else text columns Column1, Column2, ...); a bad value raises."""
+def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | None = None, sep: str | None = None, header: bool | None = None, escaped: bool = False) -> DataFrame:
+    """CSV or TBL; ``escaped`` as in ``export``.  Without a schema, names and types come from the first lines (else text columns Column1, Column2, ...); a bad value raises."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     head = [r[0] for r in spark.read.text(paths[0]).limit(SNIFF_LINES).collect()]
     found = sniff(head)
@@ -55,13 +55,29 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructTy
         for f, kind in zip(schema.fields, found["types"]):
             marker &= F.col(f"`{f.name}`").eqNullSafe(kind)
         raw = raw.filter(~marker)
-    return raw.select(*[_value(f).alias(f.name) for f in schema.fields])
+    return raw.select(*[_value(f, escaped).alias(f.name) for f in schema.fields])
 
 
-def _value(f: T.StructField) -> Column:
+#: What unquoted text can't hold, and how escaped text says it; ``%`` first.
+ESCAPES = (("%", "%25"), (";", "%3B"), ("\n", "%0A"), ("\r", "%0D"), ("\x00", "%00"))
+
+
+def _escape(c: Column) -> Column:
+    for raw, said in ESCAPES:
+        c = F.replace(c, F.lit(raw), F.lit(said))
+    return F.when(c == "NULL", F.lit("%4EULL")).otherwise(c)
+
+
+def _unescape(c: Column) -> Column:
+    for raw, said in (("N", "%4E"), *reversed(ESCAPES)):
+        c = F.replace(c, F.lit(said), F.lit(raw))
+    return c
+
+
+def _value(f: T.StructField, escaped: bool = False) -> Column:
     c = F.col(f"`{f.name}`")
     if isinstance(f.dataType, T.StringType):
-        return F.when(c.isNull(), F.lit("")).when(c != "NULL", c)
+        return F.when(c.isNull(), F.lit("")).when(c != "NULL", _unescape(c) if escaped else c)
     return F.when(c != "NULL", c).cast(f.dataType)
 
 
@@ -78,9 +94,14 @@ def import_(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[s
     return df.select(*columns) if columns else df
 
 
-def export(df: DataFrame, path: str, fmt: str | None = None, single: bool = False, split_rows: int | None = None, mode: str = "overwrite") -> None:
-    """Write csv (``;``, header, NULL for nulls), orc or parquet (zstd).  ``single`` writes one object; ``split_rows`` caps rows per object."""
+def export(df: DataFrame, path: str, fmt: str | None = None, single: bool = False, split_rows: int | None = None, mode: str = "overwrite", escaped: bool = False) -> None:
+    """Write csv (``;``, header, NULL for nulls), orc or parquet (zstd).  ``single`` writes one object; ``split_rows`` caps rows per object.
+
+    CSV is unquoted: text that holds ``;`` or a line end, or is ``NULL``, breaks or changes unless ``escaped`` writes these as percent signs and hex digits.
+    """
     fmt = fmt or format_of(path)
+    if escaped and fmt == "csv":
+        df = df.select(*[_escape(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])
     w = (df.coalesce(1) if single else df).write.mode(mode)
     if split_rows:
         w = w.option("maxRecordsPerFile", split_rows)

@@ -66,3 +66,12 @@ def test_catalog(spark, tmp_path):
         c.add("x", path, primary_key=("z",))
     c.drop("things")
     assert not c.exists("things")
+
+
+def test_escaped_round_trip(spark, tmp_path):
+    texts = ["a;b", "NULL", None, "", "%3B", "%4E%25", "two\nlines\r\n", "100 %", ";", "N", 'q"uote', "back\\slash"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    path = str(tmp_path / "e.csv")
+    files.export(df, path, escaped=True)
+    back = files.import_(spark, path, expected=df.schema, sep=";", header=True, escaped=True)
+    assert sorted(map(tuple, back.collect())) == list(enumerate(texts))
