@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import delivery, drift, intervals, nested, quantiles
+from quern.operators import delivery, drift, intervals, nested
 from quern.session import table
 
 QUERIES: dict = {}
@@ -78,36 +78,6 @@ SQL["p3_coverage"] = f"""SELECT trace_id, count(*) FILTER (kind = 'period') AS p
  CAST(sum(CASE WHEN kind = 'gap' THEN end_us - start_us ELSE 0 END) AS BIGINT) AS gap_us FROM ({SQL["p3_found"]}) GROUP BY trace_id"""
 
 
-# --- p5: percentiles -------------------------------------------------------------------------------------------------
-_MEASURES = ("runtime_ms", "function_instance_size_mb")
-
-
-def _day_sketches(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "fragment_result").select(delivery.trimmed(F.col("pipeline_id")).alias("pipeline_id"), F.to_date("received_at").alias("day"), *_MEASURES)
-    return quantiles.sketches(rows.filter("pipeline_id is not null and day is not null"), [F.col("pipeline_id"), F.col("day")], _MEASURES)
-
-
-def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of each pipeline and day, and of each pipeline as a whole (day is NULL) merged from its days: the table is read once."""
-    return _both_levels(_day_sketches(spark, d))
-
-
-def _both_levels(days: DataFrame) -> DataFrame:
-    from quern.session import settle
-
-    # The day sketches are what a later run would keep; written once, read by both levels.
-    kept = settle(days)
-    whole = quantiles.merge(kept, ["pipeline_id"], _MEASURES).withColumn("day", F.lit(None).cast("date"))
-    return quantiles.read(kept.unionByName(whole), ["pipeline_id", "day"], _MEASURES)
-
-
-def p5_days(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.read(_day_sketches(spark, d), ["pipeline_id", "day"], _MEASURES)
-
-
-QUERIES |= {"p5_percentiles": p5_percentiles, "p5_days": p5_days}
-
-
 # --- p2: drifting schemas --------------------------------------------------------------------------------------------
 def _unions(spark: SparkSession, d: str) -> DataFrame:
     return drift.unions(table(spark, d, "benchmark_output"), "file_no", "campaign_id", "written_at", "document")
