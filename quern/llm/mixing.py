@@ -6,7 +6,9 @@ in a random direction whose expectation is zero, until one of the two is 0 or 1.
 than one document.  Each task rounds its own documents and leaves at most one open document a source; these residuals meet in a tree of tasks.
 
 The document left over at the end is rounded by chance, so it should be small: documents over a ``1/tiers`` part of their source, of which there are
-fewer than ``tiers``, are rounded first, the largest first, and what they miss or exceed moves the rate of the others.
+fewer than ``tiers``, are rounded first, the largest first.  Each of these meets all smaller documents of its source as if they were one: mass moves between it
+and them until it is integral, in a random direction with zero expectation unless they could not give or take so much at their copies from 0 to the cap.  The
+rest then has the mass that is left.  So a source misses its share by less than one document of the rest, wherever the caps and sizes allow that.
 
 Random choices are drawn from document ids, so a task that runs again decides the same.
 """
@@ -79,13 +81,38 @@ def plan(totals: dict[str, int], targets: Sequence[tuple[str, float, int]]) -> d
     return {s: min(w / whole * total / totals[s], float(m)) for s, w, m in live}
 
 
-def _round(rates: dict[str, float], seed: int, first: bool):
-    """Rounds one stream; in the first pass rows come with their rate, later with their open probability."""
+def round_large(sizes: np.ndarray, u: np.ndarray, mass: float, rest: float, cap: float) -> np.ndarray:
+    """Copies of the large documents of one source, the largest first; ``mass`` is due to them and to the ``rest`` tokens of smaller ones."""
+    below = rest + sizes.sum() - np.cumsum(sizes)
+    out = np.zeros(len(sizes), np.int64)
+    for i, size in enumerate(sizes):
+        p = min(max(mass / (size + below[i]), 0.0), cap)
+        down = int(p)
+        choices = {down: 1 - (p - down), min(down + 1, int(cap)): p - down}
+        fit = {c: w for c, w in choices.items() if w > _TINY and -_TINY * mass <= mass - c * size <= cap * below[i] * (1 + _TINY)}
+        if not fit:  # neither can be made up for: the number of copies that misses least
+            miss = {c: max(c * size - mass, mass - c * size - cap * below[i], 0.0) for c in range(int(cap) + 1)}
+            fit = {min(miss, key=lambda c: (miss[c], c)): 1.0}
+        first = min(fit)
+        out[i] = first if u[i] < fit[first] / sum(fit.values()) else max(fit)
+        mass -= out[i] * size
+    return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
 
-        node = TaskContext.get().partitionId() if first else None
+_LARGE = "doc_id long, source string, n_tokens long, copies int"
+
+
+def _round_large(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One source: fewer than ``tiers`` documents, so that one task holds them."""
+    pdf = pdf.sort_values(["n_tokens", "doc_id"], ascending=[False, True])
+    copies = round_large(pdf["n_tokens"].to_numpy(np.float64), uniform(pdf["doc_id"].to_numpy(np.int64), int(pdf["seed"].iloc[0])), float(pdf["mass"].iloc[0]), float(pdf["rest"].iloc[0]), float(pdf["cap"].iloc[0]))
+    return pdf[["doc_id", "source", "n_tokens"]].assign(copies=copies.astype(np.int32))
+
+
+def _round(seed: int, first: bool):
+    """Rounds streams sorted by (node, source); in the first pass rows come with their rate, later with their open probability."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pivots: dict[str, Pivot] = {}
         held: dict[str, tuple] = {}
         at_node = None
@@ -99,20 +126,20 @@ def _round(rates: dict[str, float], seed: int, first: bool):
         for pdf in batches:
             out: list[tuple] = []
             u = uniform(pdf["doc_id"].to_numpy(np.int64), seed)
-            for i, row in enumerate(pdf.itertuples(index=False)):
-                if first:
-                    rate = rates.get(row.source, 0.0)
-                    base = int(rate)
-                    doc, p = (row.doc_id, row.source, row.n_tokens, node, base), rate - base
-                else:
-                    if at_node is not None and row.node != at_node:
-                        out += close()
-                    at_node = row.node
-                    doc, p = (row.doc_id, row.source, row.n_tokens, row.node, row.copies), row.open
-                pivot = pivots.setdefault(row.source, Pivot())
-                done = pivot.meet(doc, p, float(row.n_tokens), u[i])
+            if first:
+                base = np.floor(pdf["rate"].to_numpy(np.float64))
+                pdf = pdf.assign(copies=base.astype(np.int32), open=pdf["rate"] - base)
+            columns = [pdf[c].tolist() for c in ("doc_id", "source", "n_tokens", "node", "copies", "open")]
+            for doc_id, source, size, node, whole, p, chance in zip(*columns, u.tolist()):
+                if node != at_node:
+                    out += close()
+                    at_node = node
+                pivot = pivots.get(source)
+                if pivot is None:
+                    pivot = pivots[source] = Pivot()
+                done = pivot.meet((doc_id, source, size, node, whole), p, float(size), chance)
                 if pivot.open is not None:
-                    held[row.source] = pivot.open[0]
+                    held[source] = pivot.open[0]
                 out += [(*d[:4], d[4] + one, None) for d, one in done]
             yield _frame(out)
         yield _frame(close())
@@ -125,50 +152,56 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return f.astype({"doc_id": "int64", "n_tokens": "int64", "node": "int64", "copies": "int32", "open": "float64"})
 
 
-def mix(sized: DataFrame, targets: DataFrame, max_sources: int = 10_000, tiers: int = 1000, seed: int = SEED) -> DataFrame:
+def mix(sized: DataFrame, targets: DataFrame, max_sources: int = 10_000, tiers: int = 1000, nodes: int = 1024, seed: int = SEED) -> DataFrame:
     """doc_id, source, n_tokens, copies of every document.
 
     ``sized``: doc_id, source, n_tokens (NULL counts as 0).  ``targets``: source, target_share, max_repeats, at most ``max_sources`` rows (checked).  Documents of sources
-    that are NULL or not listed have 0 copies.  A document of no tokens is rounded by itself.  Empty tables give no rows.
+    that are NULL or not listed have 0 copies.  A document of no tokens is rounded by itself.  Empty tables give no rows.  ``nodes``: leaves of the reduction tree; documents go
+    to them by their id, so the result doesn't depend on how rows are partitioned.
     """
+    spark = sized.sparkSession
     rows = targets.select(F.col("source").cast("string"), F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).dropna().limit(max_sources + 1).collect()
     if len(rows) > max_sources or len({r[0] for r in rows}) != len(rows):
         raise ValueError("targets need one row a source, and not too many")
     docs = settle(sized.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens")))
-    listed = docs.filter(F.col("source").isin([r[0] for r in rows])) if rows else docs.limit(0)
-    totals = {r[0]: r[1] for r in listed.groupBy("source").agg(F.sum("n_tokens")).collect()}  # at most max_sources rows
-    rates = plan(totals, [tuple(r) for r in rows])
-
-    # Fewer than ``tiers`` documents of a source are over this size.
-    bounds = F.create_map(*[F.lit(x) for kv in ((s, totals[s] / tiers) for s in rates) for x in kv]) if rates else None
-    is_large = F.coalesce(F.col("n_tokens") > F.element_at(bounds, F.col("source")), F.lit(False)) if rates else F.lit(False)
-    done, caps = [], {r[0]: float(r[2]) for r in rows}
-    if rates:
-        large = docs.filter(is_large).repartition("source").sortWithinPartitions("source", F.col("n_tokens").desc(), "doc_id")
-        large = _by_chance(settle(large.mapInPandas(_round(rates, seed, True), _ROUNDED)), seed)
-        done.append(large)
-        got = {r[0]: (r[1], r[2]) for r in large.groupBy("source").agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("copies"))).collect()}
-        for s, (tokens, reached) in got.items():
-            if totals[s] > tokens:
-                rates[s] = min(max((rates[s] * totals[s] - reached) / (totals[s] - tokens), 0.0), caps[s])
-
-    level = settle(docs.filter(~is_large).mapInPandas(_round(rates, seed + 1, True), _ROUNDED))
-    done.append(level.filter("open is null"))
-    nodes = (level.agg(F.max("node")).first()[0] or 0) + 1
+    listed = spark.createDataFrame([(r[0],) for r in rows], "source string")
+    totals = {r[0]: r[1] for r in docs.join(F.broadcast(listed), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens")).collect()}  # at most max_sources rows
+    rates, caps = plan(totals, [tuple(r) for r in rows]), {r[0]: float(r[2]) for r in rows}
+    # Small tables of at most max_sources rows: sent to all tasks.
+    dues = spark.createDataFrame([(s, r, r * totals[s], caps[s], totals[s] / tiers) for s, r in rates.items()], "source string, rate double, mass double, cap double, bound double")
+    known = docs.join(F.broadcast(dues), "source")
+    other = docs.join(F.broadcast(dues.select("source")), "source", "left_anti").withColumn("copies", F.lit(0))
+
+    # Fewer than ``tiers`` documents of a source are over its bound.
+    is_large = F.col("n_tokens") > F.col("bound")
+    rest = known.filter(~is_large).groupBy("source").agg(F.sum("n_tokens").alias("rest"))
+    large = known.filter(is_large).join(F.broadcast(rest), "source", "left").select("doc_id", "source", "n_tokens", "mass", F.coalesce("rest", F.lit(0)).alias("rest"), "cap", F.lit(seed).alias("seed"))
+    large = settle(large.groupBy("source").applyInPandas(_round_large, _LARGE))
+    got = {r[0]: (r[1], r[2]) for r in large.groupBy("source").agg(F.sum("n_tokens"), F.sum(F.col("n_tokens") * F.col("copies"))).collect()}
+    left_over = []
+    for s, r in rates.items():
+        tokens, reached = got.get(s, (0, 0))
+        left_over.append((s, min(max((r * totals[s] - reached) / (totals[s] - tokens), 0.0), caps[s]) if totals[s] > tokens else r))
+    small = known.filter(~is_large).drop("rate").join(F.broadcast(spark.createDataFrame(left_over, "source string, rate double")), "source")
+    leaf = F.pmod(F.xxhash64("doc_id"), F.lit(nodes))
+    small = small.select("doc_id", "source", "n_tokens", leaf.alias("node"), "rate").repartition("node").sortWithinPartitions("node", "source", F.col("n_tokens").desc(), "doc_id")
+    level = settle(small.mapInPandas(_round(seed + 1, True), _ROUNDED))
+    done = [other, large, level.filter("open is null")]
     left = level.filter("open is not null")
     step = 2
     while nodes > 1:
         nodes = -(-nodes // FAN_IN)
         met = left.withColumn("node", F.floor(F.col("node") / FAN_IN)).repartition(min(nodes, 200), "node").sortWithinPartitions("node", "source", F.col("n_tokens").desc(), "doc_id")
-        level = settle(met.mapInPandas(_round(rates, seed + step, False), _ROUNDED))
+        level = settle(met.mapInPandas(_round(seed + step, False), _ROUNDED))
         done.append(level.filter("open is null"))
         left = level.filter("open is not null")
         step += 1
     done.append(_by_chance(left, seed))
-    out = done[0]
+    columns = ["doc_id", "source", "n_tokens", "copies"]
+    out = done[0].select(columns)
     for x in done[1:]:
-        out = out.unionByName(x)
-    return out.select("doc_id", "source", "n_tokens", "copies")
+        out = out.unionByName(x.select(columns))
+    return out
 
 
 def _by_chance(rounded: DataFrame, seed: int) -> DataFrame:

