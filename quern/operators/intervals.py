@@ -1,10 +1,10 @@
 """Continuous periods and gaps of possibly overlapping, nested or repeated time intervals per entity.
 
-The state is a mergeable aggregate: a sorted list of disjoint closed intervals.  Each map task builds partial lists of its own rows (so
-repeats and overlaps vanish before anything moves), partial lists meet by (entity, time block) and merge linearly as a sorted stream,
-and a last level of the tree carries one number per block, the largest end so far, across the blocks of an entity.  From there lists and
-complements (gaps) are emitted.  A long entity is therefore never gathered in one task: its blocks are merged apart, and what its blocks
-exchange is one row a block.
+The state is a mergeable aggregate: a sorted list of disjoint closed intervals.  Lists are combined by linear merge in a tree: each map task merges the rows of
+a batch, partial lists meet by (entity, time block) and merge as a sorted stream, and the blocks of an entity meet in what they owe each other: the largest end before
+a block comes in as an interval of its own, the period that is open at its end goes out as one row, and these rows are joined into periods.  From the
+merged lists the periods and their complements, the gaps, are emitted.  A long entity is therefore never gathered in one task: its blocks are merged
+apart, and what its blocks exchange is one row a block.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Length of a time block in microseconds.  Larger blocks mean fewer carried rows, smaller ones split long entities finer.
 BLOCK_US = 60_000_000
+#: Stands before all times: the place of a block's carried end, and that end where there is none.
+_FIRST = -(2**63)
 
 
 def merge_sorted(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -52,25 +54,81 @@ def _partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"entity": np.asarray(names, object)[code[first][g]], "block": block[first][g], "s": s, "e": e})
 
 
-def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Linear merge of a stream sorted by (entity, block, start); one open interval is carried from batch to batch."""
-    open_: tuple | None = None
-    for pdf in batches:
-        if open_ is not None:
-            pdf = pd.concat([pd.DataFrame([open_], columns=["entity", "block", "s", "e"]), pdf[["entity", "block", "s", "e"]]], ignore_index=True)
-        if not len(pdf):
-            continue
-        entity = pdf["entity"].to_numpy(object)
-        start, end, block = (pdf[c].to_numpy(np.int64) for c in ("s", "e", "block"))
-        group = np.cumsum(np.concatenate([[False], (entity[1:] != entity[:-1]) | (block[1:] != block[:-1])]))
-        first = np.searchsorted(group, np.arange(group[-1] + 1))
-        g, s, e = merge_sorted(group, start, end)
-        out = pd.DataFrame({"entity": entity[first][g], "block": block[first][g], "s": s, "e": e})
-        open_ = tuple(out.iloc[-1])
-        if len(out) > 1:
-            yield out.iloc[:-1]
-    if open_ is not None:
-        yield pd.DataFrame([open_], columns=["entity", "block", "s", "e"])
+_OUT = "entity string, kind string, s long, e long, block long, total long"
+
+
+def _emit(loose_only: bool):
+    """Linear merge of a stream sorted by (entity, block, start), and what it gives.
+
+    A block's first row, from _FIRST on, ends at the largest end of earlier blocks, or at _FIRST in the first block; ``total`` is the largest end of the entity.
+    Out come ``gap`` rows, ``period`` rows of all periods that begin and end in the block, and one ``loose`` row a block that begins any: ``s`` is the
+    start of its last period, ``e`` the end of the one that was open before (meaningless in the first block).
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, reach, total, start, before = None, None, 0, None, None
+        names = [c.split()[0] for c in _OUT.split(", ")]
+
+        def loose() -> list[tuple]:
+            return [(*at, "loose", start, _FIRST if before is None else before, total)] if at is not None and start is not None else []
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            rows: list[tuple] = []
+            entity, block = pdf["entity"].to_numpy(object), pdf["block"].to_numpy(np.int64)
+            s, e, t = (pdf[c].to_numpy(np.int64) for c in ("s", "e", "total"))
+            new = np.concatenate([[True], (entity[1:] != entity[:-1]) | (block[1:] != block[:-1])])
+            cuts = np.flatnonzero(new)
+            # Lists of all blocks of the batch at once; the carried ends are intervals, so what they cover vanishes.
+            group = np.cumsum(new) - 1
+            g, ms, me = merge_sorted(group, s, e)
+            lists = np.searchsorted(g, np.arange(len(cuts) + 1))
+            for k, c in enumerate(cuts):
+                here = (entity[c], int(block[c]))
+                lo, hi = lists[k], lists[k + 1]
+                if here != at:
+                    rows += loose()
+                    at, reach, total, start, before = here, None, int(t[c]), None, None
+                    if s[c] == _FIRST:  # the carried end
+                        reach = int(me[lo])
+                        if e[c] == _FIRST:  # of the first block: none
+                            reach = None
+                        lo += 1
+                a, b = ms[lo:hi], me[lo:hi]
+                if reach is not None and len(a):  # the list goes on from the batch before, or from an earlier block
+                    skip = int(np.searchsorted(a, reach, "right"))
+                    if skip:
+                        reach = max(reach, int(b[:skip].max()))
+                        a, b = a[skip:], b[skip:]
+                        more = int(np.searchsorted(a, reach, "right"))
+                        if more:
+                            reach, a, b = max(reach, int(b[more - 1])), a[more:], b[more:]
+                if not len(a):
+                    continue
+                ends = np.concatenate([[reach if reach is not None else 0], b[:-1]])
+                if not loose_only:
+                    first = 0 if reach is not None else 1
+                    rows += [(*here, "gap", x, y, 0) for x, y in zip(ends[first:].tolist(), a[first:].tolist())]
+                    starts = a[:-1].tolist()
+                    if start is not None:
+                        rows.append((*here, "period", start, reach, 0))
+                    rows += [(*here, "period", x, y, 0) for x, y in zip(starts, b[:-1].tolist())]
+                if start is None:
+                    before = reach
+                start, reach = int(a[-1]), int(b[-1])
+            yield _rows(rows)
+        yield _rows(loose())
+
+    def _rows(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["entity", "block", "kind", "s", "e", "total"])
+        if loose_only:
+            out = out[out["kind"] == "loose"]
+        else:
+            out = out[out["kind"] != "loose"]
+        return out.astype({"block": "int64", "s": "int64", "e": "int64", "total": "int64"})[["entity", "kind", "s", "e", "block", "total"]]
+
+    return run
 
 
 def periods_and_gaps(df: DataFrame, entity: str, start_us: str, end_us: str, block_us: int = BLOCK_US) -> DataFrame:
@@ -82,26 +140,20 @@ def periods_and_gaps(df: DataFrame, entity: str, start_us: str, end_us: str, blo
     """
     rows = df.select(F.col(f"`{entity}`").cast("string").alias("entity"), F.col(f"`{start_us}`").cast("long").alias("s"), F.col(f"`{end_us}`").cast("long").alias("e"))
     rows = rows.filter("entity is not null and s is not null and e is not null and e >= s").withColumn("block", F.floor(F.col("s") / F.lit(block_us)))
-    schema = "entity string, block long, s long, e long"
-    partial = rows.mapInPandas(_partial, schema)
-    lists = partial.repartition("entity", "block").sortWithinPartitions("entity", "block", "s").mapInPandas(_merge, schema)
 
-    # One row a block: its largest end and what precedes it.
-    blocks = lists.groupBy("entity", "block").agg(F.max("e").alias("top"))
+    # What each block gets from those before it: one row a block, made by partial aggregates.
+    tops = rows.groupBy("entity", "block").agg(F.max("e").alias("top"))
     by_block = W.partitionBy("entity").orderBy("block")
-    before = blocks.select("entity", "block", F.max("top").over(by_block.rowsBetween(W.unboundedPreceding, -1)).alias("carry"))
-    inside = W.partitionBy("entity", "block").orderBy("s")
-    # Within a block the intervals are disjoint, so the one before has the largest end of the block so far.
-    reach = F.greatest(F.col("carry"), F.lag("e").over(inside))
-    heads = lists.join(before, ["entity", "block"]).withColumn("reach", reach).filter("reach is null or s > reach").select("entity", "block", "s", "reach")
-
-    # A period ends where the next gap begins, or at the largest end of the entity: again within blocks first, then across.
-    own = heads.withColumn("stop", F.lead("reach").over(inside)).withColumn("is_last", F.lead("s").over(inside).isNull())
-    firsts = heads.groupBy("entity", "block").agg(F.min(F.struct("s", "reach"))["reach"].alias("gap_start"))
-    tops = blocks.join(firsts, ["entity", "block"], "left")
-    after = by_block.rowsBetween(1, W.unboundedFollowing)
-    tail = tops.select("entity", "block", F.coalesce(F.first("gap_start", ignorenulls=True).over(after), F.max("top").over(W.partitionBy("entity"))).alias("tail"))
-    full = own.join(tail, ["entity", "block"]).withColumn("stop", F.when(F.col("is_last"), F.col("tail")).otherwise(F.col("stop")))
-    period = F.struct(F.lit("period").alias("kind"), F.col("s").alias("start_us"), F.col("stop").alias("end_us"))
-    gap = F.struct(F.lit("gap").alias("kind"), F.col("reach").alias("start_us"), F.col("s").alias("end_us"))
-    return full.select(F.col("entity").alias(entity), F.explode(F.when(F.col("reach").isNull(), F.array(period)).otherwise(F.array(period, gap))).alias("x")).select(entity, "x.*")
+    carried = F.coalesce(F.max("top").over(by_block.rowsBetween(W.unboundedPreceding, -1)), F.lit(_FIRST))
+    carry = tops.select("entity", "block", F.lit(_FIRST).alias("s"), carried.alias("e"), F.max("top").over(W.partitionBy("entity")).alias("total"))
+
+    partial = rows.mapInPandas(_partial, "entity string, block long, s long, e long").withColumn("total", F.lit(0).cast("long"))
+    met = carry.unionByName(partial).repartition("entity", "block").sortWithinPartitions("entity", "block", "s")
+    # Both read the one shuffle.
+    inner, loose = met.mapInPandas(_emit(False), _OUT), met.mapInPandas(_emit(True), _OUT)
+
+    # A period that is open at the end of its block ends where the next block that begins any says, or with the entity.
+    end = F.coalesce(F.lead("e").over(by_block), F.col("total"))
+    last = loose.select("entity", F.lit("period").alias("kind"), "s", end.alias("e"))
+    out = inner.select("entity", "kind", "s", "e").unionByName(last)
+    return out.select(F.col("entity").alias(entity), "kind", F.col("s").alias("start_us"), F.col("e").alias("end_us"))

@@ -44,10 +44,9 @@ SQL["p1_ranges"] = f"""SELECT pipeline_id, producer, min(n) AS lo, max(n) AS hi
 
 # --- p3: periods and gaps --------------------------------------------------------------------------------------------
 def _micros(name: str):
-    """Microseconds since 1970: values over 1e11 are milliseconds, others seconds; NULL for what isn't a finite number."""
+    """Microseconds since 1970: values over 1e11 are milliseconds, others seconds; NULL for what is no number or lies beyond the range of longs."""
     v = F.col(name)
-    finite = F.when(~F.isnan(v) & (F.abs(v) < 1e16), v)
-    return F.round(F.when(finite > 1e11, finite * 1e3).otherwise(finite * 1e6)).cast("long")
+    return F.round(F.when(v > 1e11, v * 1e3).otherwise(v * 1e6)).try_cast("long")
 
 
 def _traces(spark: SparkSession, d: str) -> DataFrame:
@@ -67,10 +66,10 @@ def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p3_found": p3_found, "p3_coverage": p3_coverage}
-_US = "CAST(round(CASE WHEN {0} > 1e11 THEN {0} * 1e3 ELSE {0} * 1e6 END) AS BIGINT)"
+_US = "TRY_CAST(round(CASE WHEN {0} > 1e11 THEN {0} * 1e3 ELSE {0} * 1e6 END) AS BIGINT)"
 SQL["p3_found"] = f"""WITH r AS (SELECT regexp_extract(lower(trace_id), '(1-[0-9a-f]{{8}}-[0-9a-f]{{24}})', 1) AS trace_id, {_US.format("start_time")} AS s, {_US.format("end_time")} AS e
  FROM subsegment WHERE start_time IS NOT NULL AND end_time IS NOT NULL AND trace_id IS NOT NULL),
- o AS (SELECT *, max(e) OVER (PARTITION BY trace_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r WHERE trace_id <> '' AND e >= s),
+ o AS (SELECT *, max(e) OVER (PARTITION BY trace_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r WHERE trace_id <> '' AND s IS NOT NULL AND e >= s),
  i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o)
  SELECT trace_id, 'period' AS kind, min(s) AS start_us, max(e) AS end_us FROM i GROUP BY trace_id, k
  UNION ALL SELECT trace_id, 'gap', reach, s FROM i WHERE s > reach"""

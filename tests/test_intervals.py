@@ -56,3 +56,23 @@ def test_edge_cases(spark):
     rows = [("a", 1, 1, "", 0), ("a", 1, 1, "", 0), ("a", 2, 3, "", 0), ("a", 3, 4, "", 0)]  # no length, repeated, touching
     assert got(spark, rows) == {("a", "period", 1, 1), ("a", "gap", 1, 2), ("a", "period", 2, 4)}
     assert got(spark, [("x" * 50_000, 1, 2, "", 0)]) == {("x" * 50_000, "period", 1, 2)}
+
+
+def test_times_beyond_2_to_53_and_plan(spark):
+    far = 2**61
+    rows = [("a", far + 1, far + 3, "", 0), ("a", far + 5, far + 7, "", 0), ("a", -far, -far + 1, "", 0)]
+    assert got(spark, rows, block_us=2) == brute(rows)
+    df = spark.createDataFrame(rows, SCHEMA)
+    plan = I.periods_and_gaps(df, "entity", "s", "e")._jdf.queryExecution().executedPlan().toString()
+    import re
+
+    assert len(set(re.findall(r"Exchange hashpartitioning[^\n]*plan_id=(\d+)", plan))) <= 7 and "Join" not in plan  # three of them twice: these are run once
+
+
+def test_odd_times(spark, tmp_path):
+    from quern.plans import pipeline_queries as P
+
+    t = "1-" + "0" * 8 + "-" + "a" * 24
+    rows = [(t, 1.0, 2.0), (f"Root={t.upper()};x", 3e11, 4e11), (t, float("nan"), 2.0), (t, 5.0, float("inf")), (t, 1e17, 2e17), (t, None, 1.0), (None, 1.0, 2.0)]
+    spark.createDataFrame(rows, "trace_id string, start_time double, end_time double").write.parquet(str(tmp_path / "subsegment.parquet"))
+    assert {tuple(r) for r in P.p3_found(spark, str(tmp_path)).collect()} == {(t, "period", 10**6, 2 * 10**6), (t, "gap", 2 * 10**6, 3 * 10**14), (t, "period", 3 * 10**14, 4 * 10**14)}
