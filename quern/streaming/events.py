@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.operators.delivery import trimmed
+from quern.operators.delivery import keep_once, seen_messages, trimmed
 
 
 def read_folder(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -24,7 +26,7 @@ def windowed_counts(events: DataFrame, time: str, keys: list[str], length: str =
 def once(messages: DataFrame, keys: list[str], time: str, late: str = "1 day") -> DataFrame:
     """Messages without copies that arrive within ``late`` of the first; rows with a blank identifier pass.
 
-    State is bounded by the watermark.  Batches that need the earliest copy use ``quern.operators.delivery``.
+    State is bounded by the watermark.  ``deliver_once`` has no such limit.
     """
     ids = [trimmed(F.col(f"`{k}`")) for k in keys]
     blank = F.lit(False)
@@ -33,3 +35,17 @@ def once(messages: DataFrame, keys: list[str], time: str, late: str = "1 day") -
     # Each row without an identifier gets one of its own, so that it is never taken for a copy.
     key = F.when(blank, F.concat(F.lit("\u0000"), F.uuid())).otherwise(F.to_json(F.array(*ids)))
     return messages.withColumn("__t", F.col(time).cast("timestamp")).withColumn("__key", key).withWatermark("__t", late).dropDuplicatesWithinWatermark(["__key"]).drop("__t", "__key")
+
+
+def deliver_once(path: str, ledger: str, message_keys: list[str], sequence_key: str, order: str, row_id: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: each message once however late its copies come.  Kept rows go to ``path``, the ranges seen so far to ``ledger``, a folder a batch.
+
+    A batch that is run again reads the ledger of the batch before and overwrites its own folders, so it comes out the same.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        seen = batch.sparkSession.read.parquet(f"{ledger}/batch={number - 1}") if number > 0 else None
+        keep_once(batch, message_keys, sequence_key, order, row_id, seen).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        seen_messages(batch, message_keys, sequence_key, seen).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+
+    return write

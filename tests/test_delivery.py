@@ -73,3 +73,26 @@ def test_keep_once_and_ranges(spark):
     kept = D.keep_once(df, ["pipeline_id"], "worker_id", "received_at", "delivery_id")
     assert sorted(r.delivery_id for r in kept.collect()) == [1, 2, 4, 5, 6, 7] and kept.columns == df.columns
     assert sorted(map(tuple, D.seen_ranges(df, ["pipeline_id"], "worker_id").collect())) == [("p", "w", 1, 2), ("p", "w", 65535, 65536)]
+
+
+def test_repeated_rows_are_kept_once(spark):
+    t = datetime(2025, 1, 1)
+    rows = [(1, t, "p", "w-1", 0, ""), (1, t, "p", "w-1", 0, ""), (2, t, "p", "w-2", 0, ""), (3, None, "p", "w-2", 0, ""), (None, t, "p", "w-9", 0, ""), (4, t, None, None, 0, ""), (4, t, None, None, 0, "")]
+    kept = D.keep_once(spark.createDataFrame(rows, SCHEMA), ["pipeline_id"], "worker_id", "received_at", "delivery_id")
+    assert sorted((r.delivery_id or 0) for r in kept.collect()) == [0, 1, 2, 4, 4]
+
+
+def test_batches_give_what_one_run_gives(spark):
+    rng = random.Random(9)
+    t0 = datetime(2025, 1, 1)
+    rows = [(i, t0 + timedelta(seconds=i), rng.choice(["p", " q"]), rng.choice([f"w-{rng.randrange(300)}", f"v-{rng.randrange(65400, 65700)}", f"odd{rng.randrange(40)}", "x-01", None]), 0, "") for i in range(3000)]
+    seen, kept = None, []
+    for part in (rows[:1000], rows[1000:1100], rows[1100:]):
+        df = spark.createDataFrame(part, SCHEMA).repartition(3)
+        kept += [r.delivery_id for r in D.keep_once(df, ["pipeline_id"], "worker_id", "received_at", "delivery_id", seen).collect()]
+        ledger = D.seen_messages(df, ["pipeline_id"], "worker_id", seen)
+        seen = spark.createDataFrame(ledger.collect(), ledger.schema)
+    gone = brute(rows)
+    assert sorted(kept) == [r[0] for r in rows if r[0] not in gone]
+    whole = D.seen_messages(spark.createDataFrame(rows, SCHEMA), ["pipeline_id"], "worker_id")
+    assert sorted(map(str, seen.collect())) == sorted(map(str, whole.collect()))
