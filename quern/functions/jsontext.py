@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import sys
 from typing import Any
 
+sys.set_int_max_str_digits(0)  # integers of any length are read and written whole
+
 
 class INVALID:
     """Stands for text that is not valid JSON.  A class, not an instance: it stays itself when functions are sent to workers."""
@@ -16,7 +19,6 @@ def _not_json(name: str) -> Any:
 
 
 _strict = json.JSONDecoder(parse_constant=_not_json)
-_wide = json.JSONDecoder(parse_constant=_not_json, parse_int=lambda s: int(s) if len(s) < 4000 else 0)
 
 
 def parse(text: str | None) -> Any:
@@ -25,14 +27,6 @@ def parse(text: str | None) -> Any:
         return INVALID
     try:
         return _strict.decode(text)
-    except json.JSONDecodeError:
-        return INVALID
-    except RecursionError:
-        return INVALID
-    except ValueError:
-        pass
-    try:  # an integer of thousands of digits
-        return _wide.decode(text)
     except (ValueError, RecursionError):
         return INVALID
 

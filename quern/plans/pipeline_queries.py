@@ -95,10 +95,18 @@ def p2_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_table(spark: SparkSession, d: str) -> DataFrame:
-    return drift.consistent(table(spark, d, "benchmark_output"), "file_no", "document").select(F.col("file").alias("file_no"), "run_no", F.to_json("parameters").alias("parameters"))
+    """All parameters of each run: field to canonical text (that of the first spelling)."""
+    table_ = drift.consistent(table(spark, d, "benchmark_output"), "file_no", "document")
+    return table_.select(F.col("file").alias("file_no"), "run_no", F.to_json(F.transform_values("parameters", lambda _, v: F.get(v, F.lit(0))["canonical"])).alias("parameters"))
 
 
-QUERIES |= {"p2_found": p2_found, "p2_schema": p2_schema, "p2_values": p2_values, "p2_table": p2_table}
+def p2_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Typed columns of two fields that drift."""
+    table_ = drift.consistent(table(spark, d, "benchmark_output"), "file_no", "document")
+    return drift.wide(table_, [drift.field_of("message_size_kb"), drift.field_of("enable_vpc")]).withColumnRenamed("file", "file_no")
+
+
+QUERIES |= {"p2_found": p2_found, "p2_schema": p2_schema, "p2_values": p2_values, "p2_table": p2_table, "p2_wide": p2_wide}
 
 
 # --- p4: nested records ----------------------------------------------------------------------------------------------
