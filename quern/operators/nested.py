@@ -2,25 +2,27 @@
 
 A depth-first visitor walks each document once and emits tagged rows: the table, the key of the row, the key of its parent and the scalar
 members as payload.  Nested members without a table of their own, and members of the document and of a run beside their tables, are ``member`` rows of the
-node that holds them; ``item_name`` is then a JSON pointer from that node, so nothing of a document is lost.  Keys are the position path (owner, run, repetition, invocation, item), so parent links need no generated numbers and come
-out the same when a task is run again.  The pass is map-only; ``write_tables`` writes it partitioned by tag, and ``flat`` applies a table's schema.
+node that holds them; ``item_name`` is then a JSON pointer from that node, so nothing of a document is lost.  Keys are the position path (owner, run, repetition, invocation, item, number of the item among those of one name), so parent links
+need no generated numbers and come out the same when a task is run again; they are unique where owners are.  Documents and messages have rows of their own, so every parent key is a key.  The pass is map-only; ``write_tables`` writes it partitioned by tag, and ``flat`` applies a table's schema.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Callable, Collection, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.jsontext import INVALID, elements, parse
 
+#: What holds the rows of a table; the roots have no parent.
 PARENTS = {"member": "file, run, repetition or invocation", "run": "file", "metric": "run", "repetition": "run", "invocation": "repetition", "invocation_request": "invocation", "fragment_request": "delivery"}
-SCHEMA = "node_kind string, owner_id long, run_no int, repetition_no int, invocation_no int, item_name string, payload string"
-_ARROW = pa.schema([("node_kind", pa.string()), ("owner_id", pa.int64()), ("run_no", pa.int32()), ("repetition_no", pa.int32()), ("invocation_no", pa.int32()), ("item_name", pa.string()), ("payload", pa.string())])
+SCHEMA = "node_kind string, owner_id long, run_no int, repetition_no int, invocation_no int, item_name string, item_no int, payload string"
+_ARROW = pa.schema([("node_kind", pa.string()), ("owner_id", pa.int64()), ("run_no", pa.int32()), ("repetition_no", pa.int32()), ("invocation_no", pa.int32()), ("item_name", pa.string()), ("item_no", pa.int32()), ("payload", pa.string())])
 
 
 def requests(metering: Any) -> Iterator[tuple[str, Any]]:
@@ -70,6 +72,14 @@ def members(value: Any, pointer: str) -> Iterator[tuple[str, str]]:
             yield at, json.dumps(x)
 
 
+def _numbered(found: Iterator[tuple[str, Any]]) -> Iterator[tuple[str, int, Any]]:
+    """Requests with their number among those of the same name."""
+    seen: Counter[str] = Counter()
+    for name, counts in found:
+        yield name, seen[name], counts
+        seen[name] += 1
+
+
 def visit_result(owner: int, document: Any, emit: Callable, payload: bool, whole: bool = False) -> None:
     """A benchmark result: runs with their parameters, metrics, repetitions, invocations and requests.
 
@@ -81,49 +91,53 @@ def visit_result(owner: int, document: Any, emit: Callable, payload: bool, whole
         for k, v in node.items():
             if payload and k not in tables and (scalars or isinstance(v, (dict, list)) and not whole):
                 for pointer, text in members(v, _step(k)):
-                    emit("member", owner, r, p, i, pointer, text)
+                    emit("member", owner, r, p, i, pointer, 0, text)
 
     def own(node: dict, table: str) -> str | None:
         return (json.dumps({k: v for k, v in node.items() if k != table}) if whole else _scalars(node)) if payload else None
 
     if not isinstance(document, dict):
         return
-    rest(document, -1, -1, -1, ("runs",), True)
+    if payload:
+        emit("file", owner, -1, -1, -1, "", 0, _scalars(document))
+    rest(document, -1, -1, -1, ("runs",), False)
     for r, run in enumerate(elements(document.get("runs"))):
         if not isinstance(run, dict):
             continue
-        emit("run", owner, r, -1, -1, "", json.dumps(run.get("parameters")) if payload else None)
+        emit("run", owner, r, -1, -1, "", 0, json.dumps(run.get("parameters")) if payload else None)
         metrics = run.get("metrics")
         rest(run, r, -1, -1, ("parameters", "repetitions", *(["metrics"] if metrics is None or isinstance(metrics, dict) else [])), True)
         if isinstance(metrics, dict):
             for name, v in metrics.items():
                 if v is not None:
-                    emit("metric", owner, r, -1, -1, name, json.dumps(v) if payload else None)
+                    emit("metric", owner, r, -1, -1, name, 0, json.dumps(v) if payload else None)
         for p, rep in enumerate(elements(run.get("repetitions"))):
             if not isinstance(rep, dict):
                 continue
-            emit("repetition", owner, r, p, -1, "", own(rep, "invocations"))
+            emit("repetition", owner, r, p, -1, "", 0, own(rep, "invocations"))
             rest(rep, r, p, -1, ("invocations",), False)
             for i, inv in enumerate(elements(rep.get("invocations"))):
                 if not isinstance(inv, dict):
                     continue
-                emit("invocation", owner, r, p, i, "", own(inv, "metering"))
+                emit("invocation", owner, r, p, i, "", 0, own(inv, "metering"))
                 rest(inv, r, p, i, ("metering",), False)
-                for name, counts in requests(inv.get("metering")):
-                    emit("invocation_request", owner, r, p, i, name, json.dumps(counts) if payload else None)
+                for name, no, counts in _numbered(requests(inv.get("metering"))):
+                    emit("invocation_request", owner, r, p, i, name, no, json.dumps(counts) if payload else None)
 
 
 def visit_metering(owner: int, metering: Any, emit: Callable, payload: bool) -> None:
     """The metering of one delivered message."""
-    for name, counts in requests(metering):
-        emit("fragment_request", owner, -1, -1, -1, name, json.dumps(counts) if payload else None)
+    if payload:
+        emit("delivery", owner, -1, -1, -1, "", 0, None)
+    for name, no, counts in _numbered(requests(metering)):
+        emit("fragment_request", owner, -1, -1, -1, name, no, json.dumps(counts) if payload else None)
 
 
 def flatten(df: DataFrame, owner: str, document: str, visitor: Callable = visit_result, payload: bool = True) -> DataFrame:
     """Tagged rows of all documents (see SCHEMA).  Positions count from 0; what doesn't apply is -1 or empty text.
 
     NULL or invalid documents give no rows; a NULL element keeps its position and is no row; a lone object stands for an array of one.
-    Repeated rows count each.  Rows with a NULL owner are left out.  ``payload=False`` skips the members.
+    Repeated rows count each.  Rows with a NULL owner are left out.  ``payload=False`` gives positions only: no members, and no rows of the documents themselves.
     """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,10 +164,15 @@ def flatten(df: DataFrame, owner: str, document: str, visitor: Callable = visit_
 
 
 def keyed(nodes: DataFrame) -> DataFrame:
-    """Adds ``key`` and ``parent_key``: the position path of a row and of its parent."""
-    path = F.concat_ws("/", "owner_id", *[F.when(F.col(c) >= 0, F.col(c)) for c in ("run_no", "repetition_no", "invocation_no")])
-    up = F.when(F.col("node_kind").isin("run", "repetition", "invocation"), F.regexp_replace(path, "/[0-9]+$", "")).otherwise(path)
-    return nodes.withColumn("key", F.when(F.col("item_name") != "", F.concat_ws("/", path, F.concat(F.col("node_kind"), F.lit(":"), F.col("item_name")))).otherwise(path)).withColumn("parent_key", up)
+    """Adds ``key`` and ``parent_key``: the position path of a row and of its parent (NULL for roots).  Names are escaped as in JSON pointers."""
+    kind = F.col("node_kind")
+    root = F.concat(F.when(kind.isin("delivery", "fragment_request"), F.lit("delivery:")).otherwise(F.lit("file:")), F.col("owner_id").cast("string"))
+    path = F.concat_ws("/", root, *[F.when(F.col(c) >= 0, F.col(c)) for c in ("run_no", "repetition_no", "invocation_no")])
+    up = F.when(kind.isin("run", "repetition", "invocation"), F.regexp_replace(path, "/[0-9]+$", "")).when(~kind.isin("file", "delivery"), path)
+    name = F.when(kind == "member", F.col("item_name")).otherwise(F.replace(F.replace("item_name", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
+    item = F.concat_ws("/", path, F.concat(kind, F.lit(":"), name), F.when(F.col("item_no") > 0, F.col("item_no")))
+    own = kind.isin("file", "delivery", "run", "repetition", "invocation")
+    return nodes.withColumn("key", F.when(own, path).otherwise(item)).withColumn("parent_key", up)
 
 
 def flat(nodes: DataFrame, kind: str, schema: str, members: str = "") -> DataFrame:
@@ -166,3 +185,8 @@ def flat(nodes: DataFrame, kind: str, schema: str, members: str = "") -> DataFra
 def write_tables(nodes: DataFrame, path: str) -> None:
     """All tables by one pass, a folder for each tag."""
     keyed(nodes).write.mode("overwrite").partitionBy("node_kind").parquet(path)
+
+
+def read_tables(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_tables`` wrote; a filter on ``node_kind`` reads the folders of these tables only."""
+    return spark.read.schema(f"{SCHEMA}, key string, parent_key string").parquet(path)
