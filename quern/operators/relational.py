@@ -83,11 +83,12 @@ def sort(df: DataFrame, *keys: tuple[str, bool], tie_breakers: Sequence[str] = (
     return df.orderBy(*order, *[F.col(f"`{c}`").asc_nulls_first() for c in tie_breakers])
 
 
-def limit(df: DataFrame, n: int | Column, *keys: tuple[str, bool]) -> DataFrame:
-    """First rows; with keys a top-k (TakeOrderedAndProject)."""
+def limit(df: DataFrame, n: int | Column, *keys: tuple[str, bool], offset: int = 0) -> DataFrame:
+    """First rows after ``offset`` ones; with keys a top-k (TakeOrderedAndProject)."""
     if isinstance(n, Column):
         n = int(df.sparkSession.range(1).select(n).first()[0])
-    return (sort(df, *keys) if keys else df).limit(n)
+    rows = sort(df, *keys) if keys else df
+    return (rows.offset(offset) if offset else rows).limit(n)
 
 
 def union(a: DataFrame, b: DataFrame, distinct: bool = False) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import exprs as X
 from quern.functions.aggs import Agg
-from quern.functions.exprs import Exprs
+from quern.functions.exprs import BETWEEN, FLIPPED, INVERSE, Exprs
 from quern.operators import relational as R
 from quern.sources import files
 
@@ -102,7 +102,7 @@ def build(plan: dict, spark: SparkSession, tables: dict[str, DataFrame] | None =
     if op == "sort":
         return R.sort(left, *[tuple(k) for k in plan["keys"]], tie_breakers=plan.get("tie_breakers", ()))
     if op == "limit":
-        return R.limit(left, plan["n"], *[tuple(k) for k in plan.get("keys", ())])
+        return R.limit(left, plan["n"], *[tuple(k) for k in plan.get("keys", ())], offset=plan.get("offset", 0))
     if op == "union":
         return R.union(left, right, plan.get("distinct", False))
     if op == "partition":
@@ -135,6 +135,48 @@ def replace(plan: dict, old: dict, new: dict) -> dict:
     return {k: replace(v, old, new) if k in ("left", "right") else v for k, v in plan.items()}
 
 
+def insert_above(plan: dict, below: dict, node: dict, side: str = "left") -> dict:
+    """A copy of the plan with ``node`` between ``below`` and what took it as input."""
+    return replace(plan, below, {**node, side: below})
+
+
+def leaves(plan: dict) -> list[dict]:
+    """The nodes without input, from left to right."""
+    return [n for n in nodes(plan) if "left" not in n and "right" not in n]
+
+
+def flipped(e: list) -> list:
+    """The same comparison with its sides exchanged."""
+    return [FLIPPED[e[0]], e[2], e[1]]
+
+
+def inverse(e: list) -> list:
+    """The predicate that is true where this one is false; NULL stays NULL."""
+    if e[0] in ("and", "or"):
+        return [{"and": "or", "or": "and"}[e[0]], *map(inverse, e[1:])]
+    if e[0] == "not":
+        return e[1]
+    if e[0] == "between":
+        return inverse(split_between(e))
+    return [INVERSE[e[0]], *e[1:]] if e[0] in INVERSE else ["not", e]
+
+
+def split_between(e: list) -> list:
+    """BETWEEN as two comparisons."""
+    low, high = BETWEEN[e[4] if len(e) > 4 else "inclusive"]
+    return ["and", [low, e[1], e[2]], [high, e[1], e[3]]]
+
+
+def merge_between(e: list) -> list:
+    """Two comparisons of one value with a lower and an upper bound as BETWEEN; anything else stays."""
+    if e[0] == "and" and len(e) == 3 and all(isinstance(x, list) and len(x) == 3 for x in e[1:]):
+        for a, b in ((e[1], e[2]), (e[2], e[1])):
+            mode = next((m for m, ops in BETWEEN.items() if ops == (a[0], b[0])), None)
+            if mode and a[1] == b[1]:
+                return ["between", a[1], a[2], b[2], mode]
+    return e
+
+
 def is_breaker(plan: dict) -> bool:
     return plan["op"] in BREAKERS
 

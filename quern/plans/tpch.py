@@ -93,11 +93,13 @@ Q12_SHIP_SQL = """SELECT shipmode, CAST(sum(CASE WHEN orderpriority IN ('1-URGEN
 
 def etl_copy_orders(spark: SparkSession, d: str) -> DataFrame:
     """Column subset of orders written as CSV and read back: one task per split, no shuffle."""
+    import uuid
+
     from quern.session import shared_dir
     from quern.sources import files
 
     src = files.import_(spark, f"{d}/orders.parquet", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], fmt="parquet")
-    path = f"{shared_dir(spark)}/etl-orders-{abs(hash(d))}.csv"
+    path = f"{shared_dir(spark)}/etl-orders-{uuid.uuid4().hex}.csv"
     files.export(src, path, "csv")
     return files.read_csv(spark, path, schema=src.schema, sep=";", header=True)
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern import types as Q
+from quern.sources import storage
 
 #: Delimiters tried by the CSV reader, in this order.
 DELIMITERS = ("|", ";", ",", "\t", " ")
@@ -94,14 +99,21 @@ def import_(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[s
     return df.select(*columns) if columns else df
 
 
-def export(df: DataFrame, path: str, fmt: str | None = None, single: bool = False, split_rows: int | None = None, mode: str = "overwrite", escaped: bool = False) -> None:
+def _refuse(c: Column) -> Column:
+    """Text that unquoted CSV can hold; anything else raises."""
+    return F.when(c.rlike("[;\\n\\r\\x00]") | (c == "NULL"), F.raise_error(F.lit("CSV can't hold this text: use escaped=True"))).otherwise(c)
+
+
+def export(df: DataFrame, path: str, fmt: str | None = None, single: bool = False, split_rows: int | None = None, mode: str = "overwrite", escaped: bool = False) -> dict[str, int]:
     """Write csv (``;``, header, NULL for nulls), orc or parquet (zstd).  ``single`` writes one object; ``split_rows`` caps rows per object.
 
-    CSV is unquoted: text that holds ``;`` or a line end, or is ``NULL``, breaks or changes unless ``escaped`` writes these as percent signs and hex digits.
+    CSV is unquoted: text that holds ``;`` or a line end, or is ``NULL``, raises unless ``escaped`` writes these as percent signs and hex digits.
+    Gives the number of objects below the path and their bytes.
     """
     fmt = fmt or format_of(path)
-    if escaped and fmt == "csv":
-        df = df.select(*[_escape(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])
+    if fmt == "csv":
+        say = _escape if escaped else _refuse
+        df = df.select(*[say(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])
     w = (df.coalesce(1) if single else df).write.mode(mode)
     if split_rows:
         w = w.option("maxRecordsPerFile", split_rows)
@@ -110,3 +122,39 @@ def export(df: DataFrame, path: str, fmt: str | None = None, single: bool = Fals
         w.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
         w.option("compression", "zstd").format(fmt).save(path)
+    written = storage.ls(df.sparkSession, path)
+    return {"objects": len(written), "bytes": sum(x.size for x in written)}
+
+
+#: Options of ``import_`` by format.
+OPTIONS = {"csv": {"sep": str, "header": bool, "escaped": bool}, "parquet": {"mergeSchema": bool}, "orc": {"mergeSchema": bool}}
+
+
+def options_to_json(fmt: str, **options: str | bool) -> str:
+    """Import options as text; unknown ones, and values of another type, raise."""
+    for k, v in options.items():
+        if k not in OPTIONS[fmt] or not isinstance(v, OPTIONS[fmt][k]):
+            raise ValueError(f"no option of {fmt}: {k}={v!r}")
+    return json.dumps({"format": fmt, "options": options}, sort_keys=True)
+
+
+def options_from_json(text: str) -> dict:
+    """Keywords of ``import_`` from such a text."""
+    said = json.loads(text)
+    options_to_json(said["format"], **said["options"])
+    return {"fmt": said["format"], **said["options"]}
+
+
+def read_row_groups(spark: SparkSession, path: str, ids: Sequence[int], columns: Sequence[str] | None = None) -> DataFrame:
+    """Chosen row groups of one Parquet object, a task for each.  The object must lie where all executors read it as a file; an id it hasn't got raises."""
+    kept = spark.read.parquet(path).select(*(columns or ["*"]))
+    schema, names = kept.schema, kept.columns
+    plain = path.removeprefix("file://")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                yield from pq.ParquetFile(plain).read_row_group(i, columns=names).select(names).to_batches()
+
+    wanted = spark.createDataFrame([(int(i),) for i in ids], "id int")
+    return wanted.repartition(max(len(ids), 1), "id").mapInArrow(read, schema)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import types as T
 
-from quern.sources import files
+from quern.sources import files, storage
 from quern.sources.catalog import Catalog
 
 
@@ -75,3 +75,53 @@ def test_escaped_round_trip(spark, tmp_path):
     files.export(df, path, escaped=True)
     back = files.import_(spark, path, expected=df.schema, sep=";", header=True, escaped=True)
     assert sorted(map(tuple, back.collect())) == list(enumerate(texts))
+
+
+def test_export_refuses_what_it_cannot_hold(spark, tmp_path):
+    for text in ("a;b", "NULL", "two\nlines"):
+        with pytest.raises(Exception, match="can't hold"):
+            files.export(spark.createDataFrame([(text,)], "t string"), str(tmp_path / "x.csv"))
+    wrote = files.export(spark.range(10).repartition(2), str(tmp_path / "y.csv"))
+    assert wrote["objects"] == 2 and wrote["bytes"] > 20
+
+
+def test_storage(spark, tmp_path):
+    path = str(tmp_path / "s.parquet")
+    files.export(spark.range(5).coalesce(1), path)
+    seen = storage.ls(spark, path, ".parquet")
+    assert len(seen) == 1 and storage.status(spark, seen[0].path).size == seen[0].size and storage.unchanged(spark, seen)
+    files.export(spark.range(500).coalesce(1), path)
+    assert not storage.unchanged(spark, seen)
+    assert storage.delete(spark, path) and not storage.delete(spark, path) and storage.status(spark, path) is None and storage.ls(spark, path) == []
+
+
+def test_options_and_row_groups(spark, tmp_path):
+    text = files.options_to_json("csv", sep="|", header=True)
+    assert files.options_from_json(text) == {"fmt": "csv", "sep": "|", "header": True}
+    for bad in ({"sep": 1}, {"nope": "x"}):
+        with pytest.raises(ValueError):
+            files.options_to_json("csv", **bad)
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "g.parquet")
+    pq.write_table(pa.table({"a": list(range(30)), "b": ["x"] * 30}), path, row_group_size=10)
+    assert sorted(r.a for r in files.read_row_groups(spark, path, [0, 2], ["a"]).collect()) == [*range(10), *range(20, 30)]
+    assert files.read_row_groups(spark, path, []).count() == 0
+
+
+def test_catalog_databases_versions_and_manifest(spark, tmp_path):
+    path = str(tmp_path / "v.parquet")
+    files.export(spark.range(3), path)
+    c = Catalog(spark)
+    c.create_database("Sales")
+    assert c.add("sales.T", path).version == 1 and c.add("SALES.t", path).version == 2 and c.databases() == ["default", "sales"]
+    assert c.table("sales.t").count() == 3 and c.partitions("sales.t").count() == len(c.entry("sales.t").manifest) and not c.changed("sales.t")
+    files.export(spark.range(4), path)
+    assert c.changed("sales.t")
+    with pytest.raises(ValueError):
+        c.add("none.t", path)
+    with pytest.raises(ValueError):
+        c.create_database("sales")
+    c.drop_database("sales")
+    assert c.names() == [] and c.databases() == ["default"]

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quern.plans import spec as S
 
@@ -47,3 +48,28 @@ def test_other_operators(spark, t, tmp_path):
     assert S.run(j, spark, {"t": t}).count() == 8
     with pytest.raises(ValueError):
         S.build({"op": "nope"}, spark)
+
+
+def test_edit_helpers(spark, t):
+    plan = {"op": "sort", "keys": [["price", True]], "left": {"op": "table", "name": "t"}}
+    more = S.insert_above(plan, plan["left"], {"op": "filter", "predicate": ["<", ["col", "price"], ["lit", 5.0]]})
+    assert [n["op"] for n in S.nodes(more)] == ["table", "filter", "sort"] and S.run(more, spark, {"t": t}).count() == 1
+    assert S.leaves({"op": "union", "left": plan, "right": plan["left"]}) == [plan["left"]] * 2
+
+
+def test_predicate_helpers(spark):
+    a, one, two = ["col", "a"], ["lit", 1], ["lit", 2]
+    assert S.flipped(["<", a, one]) == [">", one, a] and S.inverse(["<", a, one]) == [">=", a, one] and S.inverse(["in", a, [1]]) == ["not in", a, [1]]
+    df = spark.createDataFrame([(x,) for x in (0, 1, 2, 3, None)], "a int")
+    for mode in ("inclusive", "lower_exclusive", "upper_exclusive", "exclusive"):
+        e = ["between", a, one, two, mode]
+        assert S.merge_between(S.split_between(e)) == e
+        rows = df.select(*[S.expression(x, df) for x in (e, S.split_between(e), S.inverse(e), S.inverse(S.inverse(e)))]).collect()
+        assert all(r[0] == r[1] == r[3] and (r[2] is None if r[0] is None else r[2] is not r[0]) for r in rows)
+
+
+def test_statistics(spark):
+    from quern.plans.statistics import measured
+
+    n, cost = measured(spark, lambda: spark.range(1000, numPartitions=3).groupBy((F.col("id") % 7).alias("k")).count().count())
+    assert n == 7 and cost.jobs >= 1 and cost.tasks >= 3 and cost.shuffle_bytes > 0 and cost.runtime_ms > 0 and cost.cost(1.0) >= 0
